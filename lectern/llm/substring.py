@@ -186,11 +186,15 @@ def _settle_windows(h, c, doc, begin) -> pa.RecordBatch:
     kd, kb = kd[order], kb[order]
     run = _runs(kd, kb - np.arange(len(kb)))
     kn = _lengths(run, len(kd)).astype(np.int32)
-    kd, kb, h, c, doc, begin = kd[run], kb[run], h[~known], c[~known], doc[~known], begin[~known]
+    kd, kb = kd[run], kb[run]
+    h, c, doc, begin = h[~known], c[~known], doc[~known], begin[~known]
+    run = _runs(h, c, doc, begin - np.arange(len(begin)))  # a word said over and over makes equal windows in a row
+    n = _lengths(run, len(h)).astype(np.int32)
+    h, c, doc, begin = h[run], c[run], doc[run], begin[run]
     return common.batch_of(
         k=np.concatenate((rolling.mix(kd.view(np.uint64)).view(np.int64), h)), h=np.concatenate((np.zeros(len(kd), np.int64), h)),
         c=np.concatenate((np.zeros(len(kd), np.int32), c)), doc_id=np.concatenate((kd, doc)), begin=np.concatenate((kb, begin)),
-        n=np.concatenate((kn, np.ones(len(h), np.int32))), kind=np.repeat(np.array([KNOWN, CLAIM], np.int8), [len(kd), len(h)]),
+        n=np.concatenate((kn, n)), kind=np.repeat(np.array([KNOWN, CLAIM], np.int8), [len(kd), len(h)]),
     )
 
 
