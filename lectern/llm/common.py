@@ -75,3 +75,9 @@ def batch_of(**columns) -> pa.RecordBatch:
     """A record batch of numpy arrays, Arrow arrays or lists."""
     arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()]
     return pa.RecordBatch.from_arrays(arrays, names=list(columns))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -112,6 +112,16 @@ def contrast(prototypes: np.ndarray) -> np.ndarray:
     return unit
 
 
+def _best(texts: list[str | None], units: np.ndarray, n_langs: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best language of each text (n_langs: none) and its score."""
+    vectors, lettered = profiles(texts, dim)
+    if not n_langs:
+        return np.zeros(len(texts), int), np.zeros(len(texts))
+    cosine = (vectors @ units).astype(np.float64)
+    share = np.exp(SHARPNESS * (cosine - cosine.max(axis=1, keepdims=True)))
+    return np.where(lettered, cosine.argmax(axis=1), n_langs), np.where(lettered, share.max(axis=1) / share.sum(axis=1), 0.0)
+
+
 def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFrame:
     """(doc_id, lang_pred, score): the language of every text, from the text alone.
 
@@ -124,19 +134,29 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFr
     def step(batches):
         names = np.array([*langs, UNKNOWN], dtype=object)
         for batch in common.pieces(batches, "text"):
-            vectors, lettered = profiles(batch.column("text").to_pylist(), dim)
-            known = lettered & bool(langs)
-            best, score = np.full(len(vectors), len(langs)), np.zeros(len(vectors))
-            if langs:
-                cosine = (vectors @ units).astype(np.float64)
-                share = np.exp(SHARPNESS * (cosine - cosine.max(axis=1, keepdims=True)))
-                best = np.where(known, cosine.argmax(axis=1), best)
-                score = np.where(known, share.max(axis=1) / share.sum(axis=1), score)
+            best, score = _best(batch.column("text").to_pylist(), units, len(langs), dim)
             yield common.batch_of(doc_id=batch.column("doc_id"), lang_pred=names[best].tolist(), score=score)
 
     return common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), step, "doc_id long, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, dim: int = DIM) -> DataFrame:
+    """The documents, all columns, whose text has a language: all but those that ``identify`` calls ``und``.
+
+    Where nothing can be learned, for want of labelled rows, texts with a letter stay.
+    """
+    langs, prototypes = train(docs.where(fold("doc_id") != 0), dim)
+    units = contrast(prototypes).astype(np.float32).T
+
+    def step(batches):
+        for batch in common.pieces(batches, "text"):
+            texts = batch.column("text").to_pylist()
+            stay = _best(texts, units, len(langs), dim)[0] < len(langs) if langs else profiles(texts, dim)[1]
+            yield batch.filter(pa.array(stay))
+
+    return common.arrow_map(docs, step, docs.schema)
+
+
 def fold(doc_id):
     """crc32 of the id as text, modulo FOLDS."""
     return F.crc32(F.col(doc_id).cast("string")) % FOLDS

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -260,8 +261,8 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, shingle: int = SHINGLE)
         raise ValueError("the shingle must fit in the window")
     spark = docs.sparkSession
     n = common.partitions(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    anchors = common.arrow_map(docs, _anchors(width, shingle), _ANCHORS)
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    anchors = common.arrow_map(docs.select("doc_id", "text"), _anchors(width, shingle), _ANCHORS)
     anchors = anchors.repartition(n, "k").sortWithinPartitions("a", "doc_id")
     ranges = common.arrow_map(anchors, _repeated_anchors, _RANGES)
     claims = common.arrow_map(_marked(docs, ranges), _window_claims(width), _CLAIMS)
@@ -270,7 +271,9 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, shingle: int = SHINGLE)
     return common.arrow_map(again.repartition(n, "doc_id").sortWithinPartitions("doc_id", "begin"), _merged, _RANGES)
 
 
-def _strip(width: int):
+def _strip(width: int, emit):
+    """Cuts marked windows from each text; emit(batch, n_words, n_removed, kept text) makes the output."""
+
     def step(batches):
         for batch in common.pieces(batches, "text"):
             words = rolling.Words(batch.column("text"))
@@ -289,9 +292,7 @@ def _strip(width: int):
             gone = np.concatenate(([0], np.cumsum(~keep)))[words.first]
             data, at = words.kept(keep)
             text = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).cast(pa.string())
-            yield common.batch_of(
-                doc_id=batch.column("doc_id"), n_words=np.diff(words.first).astype(np.int64), n_removed=np.diff(gone).astype(np.int64), kept_text=text,
-            )
+            yield emit(batch, np.diff(words.first).astype(np.int64), np.diff(gone).astype(np.int64), text)
 
     return step
 
@@ -305,7 +306,31 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, shingle: int = SHINGLE
     Null and empty texts give 0 words and the empty text; repeated rows of one doc_id are one document each
     with the union of the ranges; an empty table gives an empty table.
     """
-    ranges = repeated_ranges(docs, width, shingle)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_words long, n_removed long, kept_text string"
-    return common.arrow_map(_marked(slim, ranges), _strip(width), schema)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def emit(batch, n_words, n_removed, text):
+        return common.batch_of(doc_id=batch.column("doc_id"), n_words=n_words, n_removed=n_removed, kept_text=text)
+
+    marked = _marked(docs, repeated_ranges(docs, width, shingle))
+    return common.arrow_map(marked, _strip(width, emit), "doc_id long, n_words long, n_removed long, kept_text string")
+
+
+def strip_documents(docs: DataFrame, width: int = WIDTH, shingle: int = SHINGLE) -> DataFrame:
+    """The documents, all rows and columns, with the words of repeated windows cut from ``text``.
+
+    A text that loses nothing stays as it is, white space included; others are their kept words joined by one
+    space, and ``n_chars``, where there is such a column, follows.  No column may be called ``marks``.
+    """
+    columns = docs.columns
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+    def emit(batch, n_words, n_removed, text):
+        out = {c: batch.column(c) for c in columns}
+        cut = pa.array(n_removed > 0)
+        out["text"] = pc.if_else(cut, text, batch.column("text"))
+        if "n_chars" in out:
+            out["n_chars"] = pc.if_else(cut, pc.utf8_length(text).cast(out["n_chars"].type), out["n_chars"])
+        return common.batch_of(**out)
+
+    marked = _marked(docs, repeated_ranges(docs, width, shingle)).select(*columns, "marks")
+    return common.arrow_map(marked, _strip(width, emit), docs.schema)
