@@ -41,7 +41,12 @@ REMEMBER = 400_000
 _INDEX = np.dtype([("offset", "<i8"), ("doc_id", "<i8"), ("n", "<i8")])
 #: White space outside ASCII and the four separators that some regular expressions count as white space.
 _UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
-_PART = re.compile(r"\s*\S+|\s+")
+#: Letters for sure, and punctuation for sure other than the apostrophe, which may begin a contraction.
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+#: Parts of a text that no match of a byte-level splitter spans: letters, marks, or else anything up to white space.
+_PART = re.compile(rf"\s*[{_LETTER}]++(?![^{_LETTER}{_MARK}\s])|\s*[{_MARK}]++(?![^{_LETTER}{_MARK}\s])|\s*\S+|\s+")
+#: Characters of parts that go to the tokenizer in one text.
+_JOINED = 2000
 
 
 def masked(data: bytes) -> int:
@@ -49,13 +54,25 @@ def masked(data: bytes) -> int:
     return ((crc >> 15 | crc << 17) + MASK_ADD) & 0xFFFFFFFF
 
 
+class _Known(dict):
+    """Ids of parts; notes the parts that are not in it."""
+
+    def __init__(self):
+        super().__init__()
+        self.missed: list[str] = []
+
+    def __missing__(self, part: str) -> None:
+        self.missed.append(part)
+
+
 class Encoder:
     """A byte-level tokenizer that remembers the ids of frequent parts of texts.
 
-    Such a tokenizer first splits a text, and no split part spans a change from other characters to white
-    space, so the ids of a text are those of its parts (white space with what follows).  Only parts not met
-    before go to the tokenizer; the memory is bounded, and what no longer fits is encoded each time.  Texts with
-    unusual white space, and all texts of a tokenizer with a normaliser, go to it whole.
+    Such a tokenizer first splits a text, and no split part spans a change between letters and punctuation, or
+    from other characters to white space, so the ids of a text are those of its parts.  Only parts not met before
+    go to the tokenizer, many in one text, whose ids are dealt back by the bytes each token stands for; the memory
+    is bounded, and parts that no longer fit are encoded each time.  Texts with unusual white space, and all
+    texts of a tokenizer with a normaliser, go to it whole.
     """
 
     def __init__(self, path: str, end_id: int, remember: int = REMEMBER):
@@ -64,12 +81,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        size = self.tokenizer.get_vocab_size()
+        self.width = 2 if max(size, end_id + 1) <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.known: dict[str, bytes] = {}
+        self.known = _Known()
         self.remember = remember
         self.splits = self.tokenizer.normalizer is None and self._plain(self.tokenizer.pre_tokenizer)
+        if self.splits:  # a byte-level token has one character for each of its bytes
+            self.spelled = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(size)], np.int64)
 
     @staticmethod
     def _plain(splitter) -> bool:
@@ -78,32 +98,48 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_parts(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of distinct parts. Those that begin with white space and end otherwise can follow each other in a text."""
+        follow = [p for p in parts if p[0].isspace() and not p[-1].isspace()]
+        alone = [p for p in parts if not p[0].isspace() or p[-1].isspace()]
+        out = dict(zip(alone, self._encode(alone), strict=True)) if alone else {}
+        if follow:
+            size = np.array([len(p.encode()) for p in follow], np.int64)
+            cut = np.flatnonzero(np.diff(np.cumsum(size) // _JOINED)) + 1
+            bounds = [0, *cut.tolist(), len(follow)]
+            texts = ["".join(follow[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+            ids = np.concatenate([np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            ends = np.searchsorted(np.cumsum(self.spelled[ids]), np.cumsum(size)) + 1
+            raw, at = ids.tobytes(), 0
+            for part, to in zip(follow, (ends * self.width).tolist(), strict=True):
+                out[part] = raw[at:to]
+                at = to
+        return out
+
     def payloads(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, with the end id."""
-        texts = [t or "" for t in texts]
-        whole = [not self.splits or bool(_UNUSUAL.search(t)) for t in texts]
-        parts = [None if w else _PART.findall(t) for t, w in zip(texts, whole, strict=True)]
-        fresh: set[str] = set()
-        for p in parts:
-            if p:
-                fresh.update(p)
-        fresh.difference_update(self.known)
-        new = list(fresh)
-        ids = dict(zip(new, self._encode(new), strict=True)) if new else {}
-        if len(self.known) + len(ids) <= self.remember:
-            self.known |= ids
-            ids = self.known
-        elif ids:
-            room = max(0, self.remember - len(self.known))
-            self.known |= dict(list(ids.items())[:room])
+        known, found, missing = self.known, [], set()
+        for text in texts:
+            if not text or not self.splits or _UNUSUAL.search(text):
+                found.append((text or "", None, False))
+                continue
+            parts = _PART.findall(text)
+            ids = list(map(known.__getitem__, parts))
+            found.append((parts, ids, bool(known.missed)))
+            if known.missed:
+                missing.update(known.missed)
+                known.missed = []
+        fresh = self._encode_parts(list(missing)) if missing else {}
         out = []
-        for text, p in zip(texts, parts, strict=True):
-            if p is None:
-                out.append(self._encode([text])[0] + self.end)
-            elif ids is self.known:
-                out.append(b"".join(map(self.known.__getitem__, p)) + self.end)
+        for parts, ids, gaps in found:
+            if ids is None:
+                out.append((self._encode([parts])[0] if parts else b"") + self.end)
+            elif gaps:
+                out.append(b"".join([fresh[p] if x is None else x for p, x in zip(parts, ids, strict=True)]) + self.end)
             else:
-                out.append(b"".join([self.known.get(x) or ids[x] for x in p]) + self.end)
+                out.append(b"".join(ids) + self.end)
+        room = self.remember - len(known)
+        known.update(fresh if len(fresh) <= room else list(fresh.items())[: max(0, room)])
         return out
 
 
