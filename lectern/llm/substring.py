@@ -32,7 +32,7 @@ STEP = 1 << 22
 CLAIM, WITNESS, KNOWN = 0, 1, 2
 
 _ANCHORS = "k long, a long, doc_id long, begin int, n int, kind tinyint"
-_CLAIMS = "k long, h long, c int, doc_id long, begin int, n int, kind tinyint"
+_CLAIMS = "k long, h long, c int, doc_id long, begin int, n int, gap int, kind tinyint"
 _RANGES = "doc_id long, begin int, n int"
 
 
@@ -176,6 +176,24 @@ def _positions(marks: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return where[once], row[once]
 
 
+def _progressions(begin: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted begins of equal keys as arithmetic progressions: where each starts, its length and its gap.
+
+    A text that says the same few words over and over has equal windows at equal distances; they are one claim.
+    """
+    total = len(begin)
+    head = np.zeros(total, bool)
+    head[_runs(*keys)] = True
+    step = np.diff(begin, prepend=0)
+    new = head.copy()
+    new[1:] |= ~head[:-1] & (step[1:] != step[:-1])
+    run = np.flatnonzero(new)
+    n = _lengths(run, total)
+    gap = np.ones(len(run), np.int32)
+    gap[n > 1] = step[run[n > 1] + 1]
+    return run, n.astype(np.int32), gap
+
+
 def _settle_windows(h, c, doc, begin) -> pa.RecordBatch:
     """Of equal windows in a slice, those of the smallest document are claims; the others are known to repeat."""
     order = np.lexsort((begin, doc, c, h))
@@ -189,13 +207,12 @@ def _settle_windows(h, c, doc, begin) -> pa.RecordBatch:
     kn = _lengths(run, len(kd)).astype(np.int32)
     kd, kb = kd[run], kb[run]
     h, c, doc, begin = h[~known], c[~known], doc[~known], begin[~known]
-    run = _runs(h, c, doc, begin - np.arange(len(begin)))  # a word said over and over makes equal windows in a row
-    n = _lengths(run, len(h)).astype(np.int32)
+    run, n, gap = _progressions(begin, h, c, doc)
     h, c, doc, begin = h[run], c[run], doc[run], begin[run]
     return common.batch_of(
         k=np.concatenate((rolling.mix(kd.view(np.uint64)).view(np.int64), h)), h=np.concatenate((np.zeros(len(kd), np.int64), h)),
         c=np.concatenate((np.zeros(len(kd), np.int32), c)), doc_id=np.concatenate((kd, doc)), begin=np.concatenate((kb, begin)),
-        n=np.concatenate((kn, n)), kind=np.repeat(np.array([KNOWN, CLAIM], np.int8), [len(kd), len(h)]),
+        n=np.concatenate((kn, n)), gap=np.concatenate((np.ones(len(kd), np.int32), gap)), kind=np.repeat(np.array([KNOWN, CLAIM], np.int8), [len(kd), len(h)]),
     )
 
 
@@ -206,7 +223,7 @@ def _repeated_windows(batches):
         rows = _numpy(batch)
         known = rows["kind"] == KNOWN
         if known.any():
-            yield _ranges(*(rows[x][known] for x in ("doc_id", "begin", "n")))
+            yield _ranges(*(rows[x][known] for x in ("doc_id", "begin", "n")))  # of gap 1
             rows = {x: v[~known] for x, v in rows.items()}
         h, c, doc = rows["h"], rows["c"], rows["doc_id"]
         if not len(h):
@@ -218,7 +235,10 @@ def _repeated_windows(batches):
         last = (h[-1], c[-1], least[-1])
         again = doc != least
         if again.any():
-            yield _ranges(doc[again], rows["begin"][again], rows["n"][again])
+            n, gap = rows["n"][again].astype(np.int64), rows["gap"][again]
+            times = np.where(gap == 1, 1, n)
+            place = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            yield _ranges(np.repeat(doc[again], times), np.repeat(rows["begin"][again], times) + np.repeat(gap, times) * place, np.repeat(np.where(gap == 1, n, 1), times))
 
 
 def _merged(batches):
