@@ -37,7 +37,7 @@ from . import common
 MAGIC = b"LREC"
 MASK_ADD = 0xA282EAD8
 #: Distinct word-sized parts of texts whose ids a worker remembers.
-REMEMBER = 400_000
+REMEMBER = 800_000
 _INDEX = np.dtype([("offset", "<i8"), ("doc_id", "<i8"), ("n", "<i8")])
 #: White space outside ASCII and the four separators that some regular expressions count as white space.
 _UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
