@@ -11,7 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step handles at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+
+# Workers serve one stage after the other; Arrow's own pools would keep what the largest batch took.
+pa.set_memory_pool(pa.system_memory_pool())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,6 +21,8 @@ DIM = 512
 SYMBOLS = 128
 FOLDS = 5
 UNKNOWN = "und"
+#: Bytes of text that are profiled at a time: each letter takes some forty bytes on the way.
+SLICE_BYTES = 1 << 20
 #: Steepness of the softmax that turns cosines into a score.
 SHARPNESS = 25.0
 
@@ -82,7 +84,7 @@ def train(docs: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
 
     def step(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in common.pieces(batches, "text"):
+        for batch in common.pieces(batches, "text", SLICE_BYTES):
             vectors, _ = profiles(batch.column("text").to_pylist(), dim)
             lang = np.array(batch.column("lang").to_pylist())
             for name in np.unique(lang).tolist():
@@ -133,7 +135,7 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFr
 
     def step(batches):
         names = np.array([*langs, UNKNOWN], dtype=object)
-        for batch in common.pieces(batches, "text"):
+        for batch in common.pieces(batches, "text", SLICE_BYTES):
             best, score = _best(batch.column("text").to_pylist(), units, len(langs), dim)
             yield common.batch_of(doc_id=batch.column("doc_id"), lang_pred=names[best].tolist(), score=score)
 
@@ -149,7 +151,7 @@ def accepted(docs: DataFrame, dim: int = DIM) -> DataFrame:
     units = contrast(prototypes).astype(np.float32).T
 
     def step(batches):
-        for batch in common.pieces(batches, "text"):
+        for batch in common.pieces(batches, "text", SLICE_BYTES):
             texts = batch.column("text").to_pylist()
             stay = _best(texts, units, len(langs), dim)[0] < len(langs) if langs else profiles(texts, dim)[1]
             yield batch.filter(pa.array(stay))
