@@ -58,6 +58,11 @@ def _matrix(n: int, edges: pd.DataFrame) -> np.ndarray:
     return np.divide(m, total, out=np.zeros_like(m), where=total > 0)
 
 
+def _own(rows: DataFrame, *columns: str) -> DataFrame:
+    """The columns under identities of their own: nodes and edges stem from the same rows."""
+    return rows.select(*[F.col(c).alias(c) for c in columns])
+
+
 def markov(numbered: DataFrame, edges: DataFrame, damp: float = DAMP, steps: int = STEPS) -> DataFrame:
     """(cid, i, score): where a walk is after ``steps`` steps that follow edges with chance ``damp``, else the relevance.
 
@@ -78,7 +83,7 @@ def markov(numbered: DataFrame, edges: DataFrame, damp: float = DAMP, steps: int
             p = damp * (p @ m + p[lone].sum() * rel) + (1 - damp) * rel
         return pd.DataFrame({"cid": key[0], "i": own["i"].to_numpy(), "score": p})
 
-    both = numbered.select("cid", "i", "rel").groupBy("cid").cogroup(edges.select("cid", "i", "j", "w").groupBy("cid"))
+    both = _own(numbered, "cid", "i", "rel").groupBy("cid").cogroup(_own(edges, "cid", "i", "j", "w").groupBy("cid"))
     return both.applyInPandas(walk, "cid string, i int, score double")
 
 
@@ -113,5 +118,5 @@ def diversity_rank(scored: DataFrame, edges: DataFrame, omega: float) -> DataFra
         order, at = diverse_order(own["score"].to_numpy(), _matrix(len(own), links), omega)
         return pd.DataFrame({"cid": key[0], "i": own["i"].to_numpy()[order], "rank": np.arange(1, len(order) + 1), "score": at})
 
-    both = scored.select("cid", "i", "score").groupBy("cid").cogroup(edges.select("cid", "i", "j", "w").groupBy("cid"))
+    both = _own(scored, "cid", "i", "score").groupBy("cid").cogroup(_own(edges, "cid", "i", "j", "w").groupBy("cid"))
     return both.applyInPandas(pick, "cid string, i int, rank int, score double")
