@@ -24,6 +24,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -143,6 +144,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str, end_id: int) -> Encoder:
+    """The worker's encoder: what it remembers serves all tasks that the worker runs."""
+    return Encoder(path, end_id)
+
+
 def _store(folder: str) -> tuple[pafs.FileSystem, str]:
     """The file system and path of a folder: local ones by themselves, others by their URI."""
     if folder.startswith("file:"):
@@ -216,12 +223,12 @@ def write_records(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> D
     rows = rows.repartitionByRange(common.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def step(batches):
-        encoder = Encoder(path, end_id)
+        own = encoder(path, end_id)
         name = f"shard-{TaskContext.get().partitionId():06d}"
 
         def encoded():
             for batch in common.pieces(batches, "text"):
-                yield from zip(batch.column("doc_id").to_pylist(), encoder.payloads(batch.column("text").to_pylist()), strict=True)
+                yield from zip(batch.column("doc_id").to_pylist(), own.payloads(batch.column("text").to_pylist()), strict=True)
 
         source = encoded()
         first = next(source, None)
@@ -232,7 +239,7 @@ def write_records(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> D
             yield first
             yield from source
 
-        n_docs, n_ids = write_shard(folder, name, every(), encoder.width)
+        n_docs, n_ids = write_shard(folder, name, every(), own.width)
         yield common.batch_of(shard=[name], n_docs=pa.array([n_docs], pa.int64()), n_tokens=pa.array([n_ids], pa.int64()))
 
     shards = common.durable(common.arrow_map(rows, step, "shard string, n_docs long, n_tokens long"))
