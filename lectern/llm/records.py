@@ -38,7 +38,9 @@ from . import common
 MAGIC = b"LREC"
 MASK_ADD = 0xA282EAD8
 #: Distinct word-sized parts of texts whose ids a worker remembers.
-REMEMBER = 800_000
+REMEMBER = 400_000
+#: Bytes of text that are split and encoded at a time.
+SLICE_BYTES = 256 << 10
 _INDEX = np.dtype([("offset", "<i8"), ("doc_id", "<i8"), ("n", "<i8")])
 #: White space outside ASCII and the four separators that some regular expressions count as white space.
 _UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
@@ -227,7 +229,7 @@ def write_records(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> D
         name = f"shard-{TaskContext.get().partitionId():06d}"
 
         def encoded():
-            for batch in common.pieces(batches, "text"):
+            for batch in common.pieces(batches, "text", SLICE_BYTES):
                 yield from zip(batch.column("doc_id").to_pylist(), own.payloads(batch.column("text").to_pylist()), strict=True)
 
         source = encoded()
