@@ -38,7 +38,7 @@ from . import common
 MAGIC = b"LREC"
 MASK_ADD = 0xA282EAD8
 #: Distinct word-sized parts of texts whose ids a worker remembers.
-REMEMBER = 400_000
+REMEMBER = 800_000
 #: Bytes of text that are split and encoded at a time.
 SLICE_BYTES = 256 << 10
 _INDEX = np.dtype([("offset", "<i8"), ("doc_id", "<i8"), ("n", "<i8")])
