@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -14,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that one vectorised step handles at a time.
 SLICE_BYTES = 2 << 20
 
-#: Bytes of a batch between Spark and Python, set for a session that allows more than the second.
-BATCH_BYTES, MOST_BATCH_BYTES = 8 << 20, 64 << 20
+#: Bytes of a batch between Spark and Python, for sessions that do not say.
+BATCH_BYTES = 8 << 20
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 # Workers serve one stage after the other; Arrow's own pools would keep what the largest batch took.
@@ -78,8 +77,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 def arrow_map(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``df.mapInArrow``, with batches of a bounded size: a row may be a very long document."""
     conf = df.sparkSession.conf
-    now = re.match(r"[0-9]+", conf.get(BATCH_CONF, "") or "")
-    if not now or int(now[0]) > MOST_BATCH_BYTES:
+    if conf.get(BATCH_CONF, None) is None:
         conf.set(BATCH_CONF, str(BATCH_BYTES))
     return df.mapInArrow(step, schema)
 

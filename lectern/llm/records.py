@@ -10,7 +10,7 @@ as a 32-bit number.  Each record follows as
 
 where a checksum is CRC-32 rotated right by 15 bits plus a constant, so that data that hold checksums do not
 check themselves.  ``x.idx`` has for each record, as three 64-bit numbers, the offset of its frame, its doc_id
-and its number of ids: a reader can take the records in any order without scanning the shard.
+and its number of ids (the smallest number stands for no doc_id): a reader can take the records in any order without scanning the shard.
 
 All numbers are little-endian.  A file is written under a name of its attempt and renamed when whole, so a
 task that is run again or twice leaves one good shard.
@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -41,6 +42,7 @@ MASK_ADD = 0xA282EAD8
 REMEMBER = 800_000
 #: Bytes of text that are split and encoded at a time.
 SLICE_BYTES = 256 << 10
+NO_ID = -(1 << 63)
 _INDEX = np.dtype([("offset", "<i8"), ("doc_id", "<i8"), ("n", "<i8")])
 #: White space outside ASCII and the four separators that some regular expressions count as white space.
 _UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
@@ -218,10 +220,10 @@ def write_records(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> D
 
     (shard, n_docs, n_tokens, start): one row a file, with the number of ids in all files before.  Shards follow
     the order of doc_id and hold whole documents; equal doc_ids keep an order by text.  Null texts count as
-    empty and leave the end id alone.  Rows without doc_id cannot be placed and fail.  An empty table writes no shard.
+    empty and leave the end id alone.  Rows without doc_id come first.  An empty table writes no shard.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.raise_error(F.lit("a document has no doc_id")).cast("long")).alias("doc_id"), "text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     rows = rows.repartitionByRange(common.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def step(batches):
@@ -266,6 +268,7 @@ def read_records(shards: DataFrame, folder: str) -> DataFrame:
                     out.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     start += len(ids)
                 doc, at, n, crc = (pa.array(x, pa.int64()) for x in zip(*out, strict=True))
+                doc = pc.if_else(pc.equal(doc, NO_ID), pa.scalar(None, pa.int64()), doc)
                 yield common.batch_of(doc_id=doc, start=at, n_tokens=n, ids_crc32=crc)
 
     spread = shards.repartition(common.partitions(shards.sparkSession), "shard")

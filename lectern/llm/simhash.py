@@ -108,15 +108,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id each document is linked with, itself included.
 
     Documents link if their fingerprints differ in at most two bits; a text without words has the fingerprint
-    zero and links like any other.  Repeated rows are documents like others; rows without doc_id keep a null
-    component unless others of their component have an id.
+    zero and links like any other.  Repeated rows are documents like others, and so are rows without doc_id, which
+    link what they are near to; a component without any id is null.
     """
     prints = common.durable(fingerprints(docs, shingle))
     reps = common.durable(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    name = reps.select(F.col("fp").alias("x"), F.col("rep").alias("d"))
-    pairs = close_pairs(reps).join(name.withColumnRenamed("x", "u").withColumnRenamed("d", "du"), "u").join(name.withColumnRenamed("x", "v").withColumnRenamed("d", "dv"), "v")
-    parts = components(pairs.select(F.col("du").alias("u"), F.col("dv").alias("v")))
-    label = reps.join(parts, reps["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    parts = components(close_pairs(reps))
+    named = reps.join(parts, reps["fp"] == parts["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("c"))
+    label = named.join(named.groupBy("c").agg(F.min("rep").alias("component_id")), "c").select("fp", "component_id")
     return prints.join(label, "fp").select("doc_id", "fp", "component_id")
 
 

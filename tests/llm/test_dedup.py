@@ -133,6 +133,15 @@ def test_strip_documents_keeps_rows_and_columns(documents):
         assert r["lang"] == before[r["doc_id"]]["lang"]
 
 
+def test_rows_without_ids(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = spark.createDataFrame([(None, text), (4, text), (9, text), (None, "lone words here"), (4, text)], "doc_id long, text string")
+    cut = sorted((r["doc_id"] or -1, r["n_removed"]) for r in substring.dedup_substrings(rows).collect())
+    assert cut == [(-1, 0), (-1, 0), (4, 0), (4, 0), (9, 60)]
+    near = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in simhash.near_duplicates(rows).collect())
+    assert near == [(-1, -1), (-1, 4), (4, 4), (4, 4), (9, 4)]
+
+
 @pytest.mark.parametrize("operator", [exact.exact_duplicates, simhash.near_duplicates, substring.dedup_substrings, substring.strip_documents])
 def test_empty_table(no_documents, operator):
     assert operator(no_documents).collect() == []

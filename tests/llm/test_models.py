@@ -68,6 +68,20 @@ def test_recall_at_the_threshold(spark):
     assert out.where("n_links > 0").count() >= 0.98 * 800
 
 
+def test_vectors_without_ids(spark):
+    rows = [(None, [1.0, 2.0], 0), (3, [1.0, 2.0], 0), (5, [2.0, 4.0], 0), (5, [1.0, 2.0], 0)]
+    out = sorted(((r["vec_id"] or -1, r["n_links"], r["component_id"] or -1) for r in embedding.near_duplicates(spark.createDataFrame(rows, VECTOR)).collect()))
+    assert out == [(-1, 0, -1), (3, 2, 3), (5, 2, 3), (5, 2, 3)]
+
+
+def test_rows_without_ids(spark):
+    rows = spark.createDataFrame([(None, "the house", "en"), (1, "das haus", "de"), (None, None, None)], "doc_id long, text string, lang string")
+    assert [r["held_out"] for r in langid.identify(rows).where("doc_id IS NULL").collect()] == [False, False]
+    wide = rows.withColumn("source", F.lit(None)).withColumn("n_chars", F.lit(None))
+    labels = spark.createDataFrame([(None, 1), (1, None), (1, 5), (1, 1)], "doc_id long, quality int")
+    assert quality.classify(wide, labels).count() == 3
+
+
 def test_no_vectors(spark):
     assert embedding.near_duplicates(spark.createDataFrame([], VECTOR)).collect() == []
     lone = embedding.near_duplicates(spark.createDataFrame([(1, None, None)], VECTOR)).first()

@@ -114,10 +114,10 @@ def test_records_of_nothing(spark, no_documents, tmp_path):
     assert records.read_records(shards, str(tmp_path)).collect() == []
 
 
-def test_records_need_ids(spark, tmp_path):
-    rows = spark.createDataFrame([(None, "a")], "doc_id long, text string")
-    with pytest.raises(Exception, match="no doc_id"):
-        records.write_records(rows, JSON, str(tmp_path))
+def test_records_without_ids_come_first(spark, tmp_path):
+    rows = spark.createDataFrame([(5, "a"), (None, "b c"), (5, None), (-3, "d")], "doc_id long, text string")
+    out = records.read_records(records.write_records(rows, JSON, str(tmp_path)), str(tmp_path)).sort("start").collect()
+    assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in out] == [(None, 0, 3), (-3, 3, 2), (5, 5, 1), (5, 6, 2)]
 
 
 @settings(max_examples=60, deadline=None)
