@@ -40,8 +40,10 @@ MAGIC = b"LREC"
 MASK_ADD = 0xA282EAD8
 #: Distinct word-sized parts of texts whose ids a worker remembers.
 REMEMBER = 800_000
+#: Last of the places where parts leave a mark when they are first met.
+_PLACES = (1 << 23) - 1
 #: Bytes of text that are split and encoded at a time.
-SLICE_BYTES = 256 << 10
+SLICE_BYTES = 1 << 20
 NO_ID = -(1 << 63)
 _INDEX = np.dtype([("offset", "<i8"), ("doc_id", "<i8"), ("n", "<i8")])
 #: White space outside ASCII and the four separators that some regular expressions count as white space.
@@ -75,8 +77,8 @@ class Encoder:
 
     Such a tokenizer first splits a text, and no split part spans a change between letters and punctuation, or
     from other characters to white space, so the ids of a text are those of its parts.  Only parts not met before
-    go to the tokenizer, many in one text, whose ids are dealt back by the bytes each token stands for; the memory
-    is bounded, and parts that no longer fit are encoded each time.  Texts with unusual white space, and all
+    go to the tokenizer, many in one text, whose ids are dealt back by the bytes each token stands for.  Parts met
+    in a second slice are remembered, up to a bound; others are encoded each time.  Texts with unusual white space, and all
     texts of a tokenizer with a normaliser, go to it whole.
     """
 
@@ -91,6 +93,7 @@ class Encoder:
         self.dtype = f"<u{self.width}"
         self.end = np.array([end_id], self.dtype).tobytes()
         self.known = _Known()
+        self.met = bytearray(_PLACES + 1)
         self.remember = remember
         self.splits = self.tokenizer.normalizer is None and self._plain(self.tokenizer.pre_tokenizer)
         if self.splits:  # a byte-level token has one character for each of its bytes
@@ -143,8 +146,12 @@ class Encoder:
                 out.append(b"".join([fresh[p] if x is None else x for p, x in zip(parts, ids, strict=True)]) + self.end)
             else:
                 out.append(b"".join(ids) + self.end)
-        room = self.remember - len(known)
-        known.update(fresh if len(fresh) <= room else list(fresh.items())[: max(0, room)])
+        if len(known) < self.remember:
+            for part, ids in fresh.items():
+                place = hash(part) & _PLACES
+                if self.met[place]:
+                    known[part] = ids
+                self.met[place] = 1
         return out
 
 
