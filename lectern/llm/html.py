@@ -52,11 +52,13 @@ _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscri
 _GONE = frozenset("head nav footer aside form menu dialog button fieldset search".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 _NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion sidebar menu nav navbar "
+    "ad ads adsbygoogle advert adverts advertisement advertising advertorial adbox adslot banner sponsor sponsored promo promotion sidebar menu nav navbar "
     "navigation breadcrumb breadcrumbs comment comments commentlist disqus footer masthead cookie cookies consent gdpr notice notices "
     "alert popup modal overlay newsletter subscribe signup social share sharing related recommended recommendations widget pagination pager "
-    "toolbar login paywall".split()
+    "toolbar login signin paywall promoted replies respond survey disclaimer copyright".split()
 )
+#: Names of parts of the page that an article may use for its own.
+_PAGE_NAMES = frozenset("header topbar sidenav aside".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?",
     re.S,
@@ -88,8 +90,10 @@ def _excluded(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
         return True
     if attributes.get("role", "").lower() in _ROLES:
         return True
-    names = _names(attributes) & _NAMES
-    return bool(names & {"comment", "comments"} if tag == "article" and not in_article else names)
+    names = _names(attributes)
+    if tag == "article" and not in_article:
+        return bool(names & {"comment", "comments", "ad", "advert", "promo"})
+    return bool(names & _NAMES) or (not in_article and bool(names & _PAGE_NAMES))
 
 
 class _Block:
@@ -131,7 +135,7 @@ def blocks(html: str) -> list[_Block]:
     while at < n:
         m = _TOKEN.search(html, at)
         text = html[at : m.start() if m else n]
-        if text:
+        if text and not region < 0 <= now.region:  # an excluded element inside a line
             now.parts.append(text)
             if not text.isspace():
                 breaks = 0
@@ -196,7 +200,7 @@ def blocks(html: str) -> list[_Block]:
             link += 1
         elif len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
             heading = True
-        if not now.full:
+        if tag in _BLOCKS and not now.full:
             now.region, now.heading, now.in_header = region, heading, in_header
     flush()
     return out
@@ -233,7 +237,7 @@ def classify(page: list[_Block]) -> list[_Block]:
     for key in {b.region for b in page if b.region >= 0}:
         own = [k for k, b in enumerate(page) if b.region == key]
         among = own if key > 0 else range(len(page))
-        decided = [k for k in among if first[k] != OPEN]
+        decided = [k for k in among if first[k] != OPEN and not page[k].in_header]
         at = 0
         for k in own:
             if first[k] != OPEN:

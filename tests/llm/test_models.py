@@ -178,6 +178,9 @@ ARTICLE = "The cat sat on the mat and it was not in the house of the man who was
         (f"<script>var a='<article><p>no</p></article>'</script><style>p{{}}</style><main><p>{ARTICLE}</p><ul><li><a href=a>link one</a><li><a href=b>link two</a></ul></main>", ARTICLE.strip()),
         (f'<article><p title="a>b">{ARTICLE}</p><!-- <p>gone</p> --><p>x&nbsp;&eacute;&#233;<br>y</p></article>', f"{ARTICLE.strip()}\n\nx éé y"),
         (f"<article><p>{ARTICLE}", ARTICLE.strip()),
+        (f"<article><p><span class=ad>Buy now</span>{ARTICLE}<span class='promo'>Only today</span></p><p class=notice>{ARTICLE}</p></article>", ARTICLE.strip()),
+        (f"<div id=header>{ARTICLE}</div><article><div class=entry-header><h1>Head</h1></div><p>{ARTICLE}</p></article><section id=comments><article class=comment><p>{ARTICLE}</p></article></section>", f"Head\n\n{ARTICLE.strip()}"),
+        (f"<article><header><h1>Head</h1><p>By the man of the house and of the paper, on the day that it was</p></header><p>{ARTICLE}</p></article>", f"Head\n\n{ARTICLE.strip()}"),
         (f"<div role=banner>The name of the site and all that is in it for you to see</div><p>{ARTICLE}</p><p>&copy; 2020 the company and all of its parts</p>", ARTICLE.strip()),
     ],
 )
