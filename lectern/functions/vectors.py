@@ -38,6 +38,11 @@ def kernel(name: str, a: Column, b: Column) -> Column:
     raise ValueError(f"no such similarity: {name}")
 
 
+def masked(similarity: Column, a_valid: Column, b_valid: Column) -> Column:
+    """A pair of which either side is padding has similarity 0."""
+    return similarity * a_valid.cast("int") * b_valid.cast("int")
+
+
 def softmax(x: Column, *by: str) -> Column:
     w = Window.partitionBy(*by)
     e = F.exp(x - F.max(x).over(w))

@@ -69,3 +69,8 @@ def lead(sents: DataFrame, documents: int = LEAD_DOCUMENTS, least: int = LEAD_SE
     before = F.coalesce(F.sum("n").over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     kept = sizes.withColumn("before", before).where(F.col("before") < least).select("cid", "doc_id")
     return sents.join(kept, ["cid", "doc_id"], "left_semi").select("cid", "doc_id", "sent_idx", "orig")
+
+
+def lead_files(files: DataFrame, pattern: str) -> DataFrame:
+    """Files (cid, name, text) of the peer whose names match: a lead baseline that others made."""
+    return files.where(F.col("name").rlike(pattern))

@@ -137,6 +137,30 @@ def judge(summaries: DataFrame, references: DataFrame, length: int = evaluate.LE
     return out
 
 
+def tune_retrieval(scored: DataFrame, references: DataFrame, how: str, values: list, length: int = evaluate.LENGTH, stem: bool = False) -> DataFrame:
+    """(value, recall, f1): mean ROUGE-2 of the retrieved text for each confidence or k, from one ranking."""
+    rows = rank.sweep(rank.prune(scored), how, values, "value").withColumn("value", F.col("value").cast("double"))
+    lines = F.array_sort(F.collect_list(F.struct("rank", "sent")))
+    text = rows.groupBy("value", "cid").agg(F.array_join(F.transform(F.slice(lines, 1, length), lambda x: x["sent"]), "\n").alias("text"))
+    each = evaluate.pairwise(text.withColumnRenamed("value", "cand"), references, "rouge2", length, stem)
+    one = each.groupBy("cid", "cand").agg(F.avg("recall").alias("recall"), F.avg("f1").alias("f1"))
+    return one.groupBy(F.col("cand").alias("value")).agg(F.avg("recall").alias("recall"), F.avg("f1").alias("f1"))
+
+
+def dispatch(mode: str, docs: DataFrame, queries: DataFrame, references: DataFrame, p: Parameters = Parameters()) -> DataFrame:
+    """Runs a part by name: ``rec`` gives the answers, ``tune`` the sweep over k, ``ablation`` the evaluation without the graph."""
+    if mode not in ("rec", "tune", "ablation"):
+        raise ValueError(f"no such mode: {mode}")
+    found = retrieve(corpus.sentences(docs), queries, p.retrieval)
+    if mode == "tune":
+        return tune_retrieval(SCORERS[p.answering.scorer](found.drop("score", "rank"), queries), references, "topK", list(range(10, p.answering.k + 1, 10)))
+    answers = answer(found, queries, p.answering)
+    if mode == "rec":
+        return answers
+    picked = summarize.select(answers.select("cid", "rank", F.col("sent").alias("orig"), "sent"), p.summary.budget, p.summary.cosine)
+    return judge(summarize.text_of(picked), references)
+
+
 def tune_omega(docs: DataFrame, queries: DataFrame, references: DataFrame, values: list[float], p: Parameters = Parameters()) -> DataFrame:
     """(omega, recall, f1): mean ROUGE-2 for each penalty, from one graph; only the greedy part is done anew."""
     key = ["cid", "doc_id", "sent_idx"]

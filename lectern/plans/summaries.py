@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import corpus, evaluate, graph, rank, summarize
 
+from . import flow
 from . import sql as S
 from .retrieval import KEY, scored
 from .similarity import markov_scores
@@ -69,6 +70,15 @@ def rouge1_stemmed(spark, sf_dir):
     return _percent(out, "recall", "precision", "f1")
 
 
+TUNED = [0.25, 0.5, 0.75]
+
+
+def sweep_conf_rouge2(spark, sf_dir):
+    """Mean ROUGE-2 of the retrieved text for each confidence."""
+    out = flow.tune_retrieval(scored(spark, sf_dir), corpus.references(spark, sf_dir), "conf", TUNED)
+    return out.select("value", evaluate.percent(F.col("recall")).alias("recall"), evaluate.percent(F.col("f1")).alias("f1"))
+
+
 def human_leave_one_out(spark, sf_dir):
     return _percent(evaluate.leave_one_out(corpus.references(spark, sf_dir), "rouge2"), "recall", "f1")
 
@@ -77,7 +87,7 @@ def reference_counts(spark, sf_dir):
     return evaluate.reference_counts(corpus.references(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (select_budget_cos1, select_budget_cos06, summary_text, centrality_summary, lead_docs_50, rouge1_stemmed, human_leave_one_out, reference_counts)}
+QUERIES = {f.__name__: f for f in (select_budget_cos1, select_budget_cos06, summary_text, centrality_summary, lead_docs_50, rouge1_stemmed, sweep_conf_rouge2, human_leave_one_out, reference_counts)}
 QUERIES |= {"rouge1": _rouge("rouge1", None), "rouge2": _rouge("rouge2", None), "rouge_su4": _rouge("rougeSU4", None), "rouge_truncated_250": _rouge("rouge2", 250)}
 
 _SELECT = [
@@ -129,6 +139,13 @@ ORACLE = {
     "rouge2": _rouge_sql("rouge2", None),
     "rouge_su4": _rouge_sql("rougeSU4", None),
     "rouge_truncated_250": _rouge_sql("rouge2", 250),
+    "sweep_conf_rouge2": S.select(
+        S.BASE, "lv AS (SELECT * FROM sc WHERE score > 1e-10)", S.shares("lv"), f"tv AS (SELECT unnest({TUNED}) AS cand)",
+        "rows_of AS (SELECT cid, CAST(cand AS DOUBLE) AS cand, rank, sent FROM cu JOIN tv ON before < cand)",
+        "cand AS (SELECT cid, cand, string_agg(sent, chr(10) ORDER BY rank) AS text FROM rows_of WHERE rank <= 250 GROUP BY ALL)",
+        S.REFERENCES, *_overlap("rouge2", 250, "cand"), "one AS (SELECT cid, cand, avg(recall) AS recall, avg(f1) AS f1 FROM pf GROUP BY ALL)",
+        "SELECT cand AS value, round(avg(recall) * 100, 2) AS recall, round(avg(f1) * 100, 2) AS f1 FROM one GROUP BY cand",
+    ),
     "human_leave_one_out": S.select(
         S.REFERENCES, "cand AS (SELECT cid, ref_idx AS cand, text FROM ref)", *_overlap("rouge2", 250, "cand", True),
         "one AS (SELECT cid, cand, avg(recall) AS recall, avg(f1) AS f1 FROM pf GROUP BY ALL)",

@@ -186,6 +186,36 @@ def retrieved_sentences(records: DataFrame, **normalise) -> DataFrame:
     return records.select("cid", F.lit(0).alias("doc_idx"), (F.col("rank") - 1).alias("sent_idx"), F.col("sent").alias("orig"), T.normalise(F.col("sent"), **normalise).alias("sent"))
 
 
+def retrieved_paragraphs(records: DataFrame, **normalise) -> DataFrame:
+    """As ``retrieved_sentences`` for records of paragraphs: sentences normalised one by one, empty ones dropped, re-joined."""
+    rows = records.select("cid", "rank", F.col("sent").alias("orig"), F.posexplode_outer(T.split_sentences(F.col("sent"))).alias("k", "s"))
+    rows = rows.withColumn("p", T.normalise(F.col("s"), **normalise))
+    parts = F.array_sort(F.collect_list(F.when(F.coalesce(F.col("p") != "", F.lit(False)), F.struct("k", "p"))))
+    out = rows.groupBy("cid", "rank", "orig").agg(F.array_join(F.transform(parts, lambda x: x["p"]), " ").alias("sent"))
+    return out.select("cid", F.lit(0).alias("doc_idx"), (F.col("rank") - 1).alias("sent_idx"), "orig", "sent")
+
+
+def graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges as ``writers.graph`` wrote them; fails where they are not there."""
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+
+
+def passages(spark: SparkSession, path: str, records: DataFrame | None = None, keys: tuple[str, ...] = ("cid", "doc_id", "p_idx")) -> DataFrame:
+    """Stored passages: all, or those that a retrieval names."""
+    rows = spark.read.parquet(path)
+    return rows if records is None else rows.join(records.select(*keys).distinct(), list(keys), "left_semi")
+
+
+def reference_targets(files: DataFrame, clusters: DataFrame, lower: bool = False) -> DataFrame:
+    """(cid, ref_idx, name): the reference files (prefix, name) of each cluster, numbered from 1 in the order of their names.
+
+    A file belongs to the cluster whose id begins with its prefix; lower: prefixes are written in another case.
+    """
+    rows = files.withColumn("prefix", F.lower("prefix")) if lower else files
+    order = Window.partitionBy("cid").orderBy("name")
+    return match_prefix(rows, clusters, "prefix", "cid").select("cid", F.row_number().over(order).alias("ref_idx"), "name")
+
+
 # Question-answer corpora
 
 

@@ -37,6 +37,17 @@ def samples(rows: DataFrame, path: str) -> None:
     rows.select("yy", "qid", "sid", "question", "sent").write.mode("errorifexists").csv(path, sep="\t", header=True)
 
 
+def check_samples(rows: DataFrame) -> DataFrame:
+    """Raw sample lines (value) as they are; a line without five fields is an error."""
+    fields = F.size(F.split("value", "\t"))
+    return rows.withColumn("value", F.when(fields == 5, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("a sample has not five fields: "), "value"))))
+
+
+def tuning_log(rows: DataFrame, path: str) -> None:
+    """A row a parameter value, with a header."""
+    rows.coalesce(1).write.mode("errorifexists").csv(path, sep="\t", header=True)  # a row a value
+
+
 def converted_corpus(triples: DataFrame, passage_mark: str = "<P>", question_mark: str = "--T--") -> dict[str, DataFrame]:
     """Question, answer, document and summary tables of (idx, question, answer, document) triples.
 

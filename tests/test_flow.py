@@ -61,6 +61,15 @@ def test_tune(spark, tables):
     assert [r["omega"] for r in out] == [0.0, 4.0] and all(r["f1"] >= 0 for r in out)
 
 
+def test_modes(tables):
+    p = flow.Parameters(answering=flow.Answering(k=20), summary=flow.Summary(budget=60))
+    assert flow.dispatch("rec", *tables, p).count() > 0
+    assert {r["value"] for r in flow.dispatch("tune", *tables, p).collect()} == {10.0, 20.0}
+    assert flow.dispatch("ablation", *tables, p).count() > 0
+    with pytest.raises(ValueError, match="mode"):
+        flow.dispatch("ablaton", *tables, p)
+
+
 def test_scorers(spark, tables):
     docs, queries, _ = tables
     model = flow.model_scorer(lambda: lambda qs, ss: [float(len(s) > 30) for s in ss])

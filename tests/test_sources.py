@@ -139,3 +139,25 @@ def test_markup(spark):
     page = "<html><P class=x>One <b>two</b><p>three</p>tail<p> </p><article>A</article>"
     row = spark.createDataFrame([(page,)], "html string").select(readers.tagged_paragraphs(F.col("html")), readers.first_block(F.col("html"), "main", "article")).first()
     assert row[:] == (["One two", "three"], "A")
+
+
+def test_targets_graphs_and_logs(spark, tmp_path):
+    files = spark.createDataFrame([("D301", "D301.M.A"), ("D301", "D301.M.B"), ("D9", "D9.M.A")], "prefix string, name string")
+    clusters = spark.createDataFrame([("d301i",), ("d400",)], "cid string")
+    assert {tuple(r) for r in readers.reference_targets(files, clusters, lower=True).collect()} == {("d301i", 1, "D301.M.A"), ("d301i", 2, "D301.M.B")}
+    nodes = spark.createDataFrame([("c", 0, 1.0)], "cid string, i int, rel double")
+    edges = spark.createDataFrame([("c", 0, 1, 0.5)], "cid string, i int, j int, w double")
+    writers.graph(nodes, edges, f"{tmp_path}/g")
+    assert [t.count() for t in readers.graph(spark, f"{tmp_path}/g")] == [1, 1]
+    writers.passages(spark.createDataFrame([("c", 1, 0), ("c", 1, 1)], "cid string, doc_id int, p_idx int"), f"{tmp_path}/p")
+    assert readers.passages(spark, f"{tmp_path}/p", spark.createDataFrame([("c", 1, 1)], "cid string, doc_id int, p_idx int")).count() == 1
+    assert readers.passages(spark, f"{tmp_path}/p").count() == 2
+    writers.tuning_log(spark.createDataFrame([(0.5, 1.0)], "conf double, f1 double"), f"{tmp_path}/log")
+    assert spark.read.csv(f"{tmp_path}/log", sep="\t", header=True).first()[:] == ("0.5", "1.0")
+    records = spark.createDataFrame([("c", 1, "0", 0.5, "The cat. Of the. A dog!")], readers.RECORD)
+    assert readers.retrieved_paragraphs(records, rm_stop=True).first()["sent"] == "cat. the. dog!"
+    writers.samples(spark.createDataFrame([(1, "q", "s", "a?", "b")], "yy int, qid string, sid string, question string, sent string"), f"{tmp_path}/qa")
+    lines = spark.read.text(f"{tmp_path}/qa")
+    assert writers.check_samples(lines).count() == 2
+    with pytest.raises(Exception, match="five"):
+        writers.check_samples(spark.createDataFrame([("a\tb",)], "value string")).collect()
