@@ -253,9 +253,9 @@ def write_records(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> D
         n_docs, n_ids = write_shard(folder, name, every(), own.width)
         yield common.batch_of(shard=[name], n_docs=pa.array([n_docs], pa.int64()), n_tokens=pa.array([n_ids], pa.int64()))
 
-    shards = common.durable(common.arrow_map(rows, step, "shard string, n_docs long, n_tokens long"))
+    shards = common.arrow_map(rows, step, "shard string, n_docs long, n_tokens long").collect()  # runs once; one row a file
     total, placed = 0, []
-    for r in sorted(shards.collect(), key=lambda r: r["shard"]):  # one row a file
+    for r in sorted(shards, key=lambda r: r["shard"]):
         placed.append((r["shard"], r["n_docs"], r["n_tokens"], total))
         total += r["n_tokens"]
     return spark.createDataFrame(placed, "shard string, n_docs long, n_tokens long, start long")
