@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 START, BREAK, PAD = "[CLS]", "[SEP]", "[PAD]"
 QUERY_TOKENS, SENTENCE_TOKENS, SEQUENCE, PASSAGE_SEQUENCE, PASSAGE_SENTENCES = 100, 70, 173, 503, 8
@@ -58,9 +60,6 @@ def passage(query: Column, sentences: Column, most: int = PASSAGE_SEQUENCE, quer
 
 def word_pieces(words: Column, vocabulary: frozenset[str], unknown: str = "[UNK]") -> Column:
     """Greedy longest-match pieces of each word; later pieces begin with ##. A word that does not fit is unknown."""
-    import pandas as pd
-    from pyspark.sql.types import ArrayType, StringType
-
     def cut(word: str) -> list[str]:
         out, at = [], 0
         while at < len(word):

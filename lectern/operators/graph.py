@@ -70,7 +70,7 @@ def markov(numbered: DataFrame, edges: DataFrame, damp: float = DAMP, steps: int
     """
     biased, damp = damp != 1.0, 0.85 if damp == 1.0 else damp
 
-    def walk(key, own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("i")
         n = len(own)
         if not n:
@@ -113,7 +113,7 @@ def diversity_rank(scored: DataFrame, edges: DataFrame, omega: float) -> DataFra
 
         return ranked(scored.select("cid", "i", "score"), ties=("i",)).select("cid", "i", "rank", "score")
 
-    def pick(key, own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    def pick(key: tuple, own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("i")
         order, at = diverse_order(own["score"].to_numpy(), _matrix(len(own), links), omega)
         return pd.DataFrame({"cid": key[0], "i": own["i"].to_numpy()[order], "rank": np.arange(1, len(order) + 1), "score": at})

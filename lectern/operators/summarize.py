@@ -34,7 +34,7 @@ def select(ranked: DataFrame, budget: int = BUDGET, cosine: float = COSINE) -> D
         kept = rows.withColumn("_before", before).where(F.col("_before") < budget)
         return kept.select("cid", F.row_number().over(w).alias("pos"), "rank", "orig")
 
-    def walk(key, own: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("rank")
         chosen, taken, used = [], [], 0
         for k, (sent, n) in enumerate(zip(own["sent"], own["n_words"], strict=True)):

@@ -7,11 +7,13 @@ rows of (cid, doc_id, sent_idx, sent) joined with their query.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lectern.operators import corpus, ensemble, evaluate, graph, passages, rank, scoring, summarize
 
@@ -30,11 +32,6 @@ def register_scorer(name: str, scorer: Scorer) -> None:
 
 def model_scorer(load: Callable[[], Callable[[list[str], list[str]], list[float]]], most: int | None = None) -> Scorer:
     """A scorer of a pair model: ``load`` runs once a worker and gives (queries, sentences) to scores in [0, 1]."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-    from pyspark.sql.types import DoubleType
-
     @F.pandas_udf(DoubleType())
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = load()
