@@ -32,7 +32,7 @@ def split_sentences(text: Column) -> Column:
 
 def split_paragraphs(text: Column) -> Column:
     """Parts between blank lines, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, "\\n[ \\t\\r]*\\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\\n([ \\t\\r]*\\n)+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def terms(text: Column) -> Column:
@@ -100,7 +100,7 @@ def digit_mask(word: Column) -> Column:
 def punct_split(text: Column) -> Column:
     """Lower-cased words with dashes, underscores, colons and slashes as tokens of their own, numbers masked."""
     spaced = F.regexp_replace(F.regexp_replace(F.lower(text), "[-—–_]", " - "), ":", " : ")
-    spaced = F.regexp_replace(F.regexp_replace(spaced, "\\\\", " \\\\\\\\ "), "/", " / ")
+    spaced = F.regexp_replace(F.regexp_replace(spaced, "\\\\", " \\\\ "), "/", " / ")
     return F.transform(F.filter(F.split(spaced, SPACE), lambda x: x != ""), digit_mask)
 
 
