@@ -194,7 +194,7 @@ _NUMBERED = """ge AS (SELECT ed.cid, a.i, b.i AS j, w FROM ed JOIN nd a ON a.cid
     JOIN nd b ON b.cid = ed.cid AND b.doc_id = j_doc AND b.sent_idx = j_sent)"""
 
 
-def _walk(rel: str) -> str:
+def walk_sql(rel: str) -> str:
     return f"""rl AS (SELECT cid, i, {rel} AS rel FROM nd),
 m AS (SELECT cid, i, j, w / sum(w) OVER (PARTITION BY cid, i) AS p FROM ge),
 cell AS (SELECT a.cid, a.i, b.i AS j, b.rel, CASE WHEN EXISTS (SELECT 1 FROM m x WHERE x.cid = a.cid AND x.i = a.i) THEN coalesce(m.p, 0) ELSE b.rel END AS p
@@ -205,7 +205,18 @@ walk AS (SELECT 0 AS step, cid, i, rel AS score FROM rl UNION ALL
 mk AS (SELECT cid, i, score FROM walk WHERE step = {graph.STEPS})"""
 
 
-_GRAPH = [*_TOP, _TERMS, _IDF, _edges(), _NODE, _NUMBERED]
+def greedy_sql(omega: float) -> str:
+    """The penalised picks of every cluster, one a step: scores and the matrix as lists, a picked score far below all others."""
+    best = "list_position(list_transform(r.now, lambda x: round(x, 9)), list_max(list_transform(r.now, lambda x: round(x, 9))))"
+    return f"""sv AS (SELECT cid, list(score ORDER BY i) AS s FROM mk GROUP BY cid),
+mx AS (SELECT a.cid, a.i, list(coalesce(m.p, 0) ORDER BY b.i) AS row_p FROM mk a JOIN mk b ON a.cid = b.cid LEFT JOIN m ON m.cid = a.cid AND m.i = a.i AND m.j = b.i GROUP BY a.cid, a.i),
+mm AS (SELECT cid, list(row_p ORDER BY i) AS p FROM mx GROUP BY cid),
+rec AS (SELECT cid, 0 AS step, s AS now, CAST(0 AS BIGINT) AS k, CAST(NULL AS DOUBLE) AS score FROM sv UNION ALL
+    SELECT cid, step + 1, list_transform(now, lambda x, i: CASE WHEN i = best THEN -1e6 ELSE x - {omega} * p[i][best] * s[best] END), best, now[best]
+    FROM (SELECT r.cid, r.step, r.now, sv.s, mm.p, CAST({best} AS BIGINT) AS best FROM rec r JOIN sv ON sv.cid = r.cid JOIN mm ON mm.cid = r.cid WHERE r.step < len(sv.s)))"""
+
+
+GRAPH = [*_TOP, _TERMS, _IDF, _edges(), _NODE, _NUMBERED]
 _BY_I = "CAST(row_number() OVER (PARTITION BY cid ORDER BY round(score, 9) DESC, i) AS INTEGER) AS rank"
 _TRIGGERS = """em AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings WHERE label IS NOT NULL),
 tr AS (SELECT a.label, a.vec_id, a.e AS a, b.vec_id AS t, b.e AS b FROM em a JOIN em b ON a.label = b.label AND b.k <= {k})"""
@@ -232,14 +243,15 @@ ORACLE = {
         LEFT JOIN hit ON hit.cid = a.cid AND hit.i = a.rank AND hit.j = b.rank""",
     ),
     "graph_nodes": S.select(*_TOP, _NODE, "SELECT cid, doc_id, sent_idx, i, round(rel, 6) AS rel FROM nd"),
-    "graph_edges": S.select(*_GRAPH, "SELECT cid, i, j, round(w, 6) AS w FROM ge"),
-    "markov_biased": S.select(*_GRAPH, _walk("rel"), "SELECT cid, i, round(score, 6) AS score FROM mk", recursive=True),
-    "markov_unbiased": S.select(*_GRAPH, _walk("1 / count(*) OVER (PARTITION BY cid)"), "SELECT cid, i, round(score, 6) AS score FROM mk", recursive=True),
+    "graph_edges": S.select(*GRAPH, "SELECT cid, i, j, round(w, 6) AS w FROM ge"),
+    "markov_biased": S.select(*GRAPH, walk_sql("rel"), "SELECT cid, i, round(score, 6) AS score FROM mk", recursive=True),
+    "markov_unbiased": S.select(*GRAPH, walk_sql("1 / count(*) OVER (PARTITION BY cid)"), "SELECT cid, i, round(score, 6) AS score FROM mk", recursive=True),
     "lexrank_baseline": S.select(
-        *_TOP, _TERMS, _DOC_IDF, _edges(), _NODE, _NUMBERED, _walk("1 / count(*) OVER (PARTITION BY cid)"),
+        *_TOP, _TERMS, _DOC_IDF, _edges(), _NODE, _NUMBERED, walk_sql("1 / count(*) OVER (PARTITION BY cid)"),
         f"SELECT cid, i, {_BY_I}, round(score, 6) AS score FROM mk", recursive=True,
     ),
-    "diversity_rank_w0": S.select(*_GRAPH, _walk("rel"), f"SELECT cid, i, {_BY_I}, round(score, 6) AS score FROM mk", recursive=True),
+    "diversity_rank_w0": S.select(*GRAPH, walk_sql("rel"), f"SELECT cid, i, {_BY_I}, round(score, 6) AS score FROM mk", recursive=True),
+    "diversity_rank_w4": S.select(*GRAPH, walk_sql("rel"), greedy_sql(4), "SELECT cid, CAST(k - 1 AS INTEGER) AS i, step AS rank, round(score, 6) AS score FROM rec WHERE step > 0", recursive=True),
     "masked_rank": S.select(
         _TRIGGERS.format(k=1), f"ms AS (SELECT label, vec_id, CASE WHEN vec_id % 2 = 0 THEN {_COSINE} ELSE CAST('-inf' AS DOUBLE) END AS score FROM tr)",
         "SELECT label, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, vec_id DESC) AS INTEGER) AS rank FROM ms",

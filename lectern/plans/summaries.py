@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import corpus, evaluate, graph, rank, summarize
 
-from . import flow
+from . import flow, similarity
 from . import sql as S
 from .retrieval import KEY, scored
 from .similarity import markov_scores
@@ -96,6 +96,21 @@ _SELECT = [
     f"sel AS (SELECT cid, CAST(row_number() OVER (PARTITION BY cid ORDER BY rank) AS INTEGER) AS pos, rank, sent AS orig FROM bw WHERE used < {BUDGET})",
     "summ AS (SELECT cid, string_agg(orig, chr(10) ORDER BY pos) AS text FROM sel GROUP BY cid)",
 ]
+#: The selection that skips what is like a chosen sentence, over ranked sentences ``rr`` (cid, rank, sent): one rank a step.
+_ALIKE = [
+    f"nw AS (SELECT cid, rank, sent, len(regexp_extract_all(sent, {S.WORD})) AS n FROM rr)",
+    r"bg AS (SELECT cid, rank, t, count(*) AS c FROM (SELECT cid, rank, unnest(string_split(sent, ' ')) AS t FROM rr) GROUP BY ALL)",
+    "bn AS (SELECT cid, rank, sqrt(sum(c * c)) AS norm FROM bg GROUP BY ALL)",
+    "dt AS (SELECT a.cid, a.rank AS i, b.rank AS j, sum(a.c * b.c) AS dot FROM bg a JOIN bg b ON a.cid = b.cid AND a.t = b.t AND b.rank < a.rank GROUP BY ALL)",
+    f"""lk AS (SELECT dt.cid, i AS rank, list(j) AS alike FROM dt JOIN bn x ON x.cid = dt.cid AND x.rank = i JOIN bn y ON y.cid = dt.cid AND y.rank = j
+    WHERE dot / (x.norm * y.norm) >= {summarize.COSINE} GROUP BY ALL)""",
+    "cand AS (SELECT nw.cid, nw.rank, nw.n, coalesce(alike, []) AS alike FROM nw LEFT JOIN lk USING (cid, rank))",
+    f"""taken AS (SELECT DISTINCT cid, 0 AS rank, CAST([] AS INTEGER[]) AS chosen, CAST(0 AS BIGINT) AS used FROM nw UNION ALL
+    SELECT c.cid, c.rank, CASE WHEN ok THEN list_append(chosen, c.rank) ELSE chosen END, CASE WHEN ok THEN used + c.n ELSE used END
+    FROM (SELECT c.*, w.chosen, w.used, w.used < {BUDGET} AND NOT list_has_any(c.alike, w.chosen) AS ok FROM taken w JOIN cand c ON c.cid = w.cid AND c.rank = w.rank + 1) c)""",
+    "last AS (SELECT cid, max_by(chosen, rank) AS chosen FROM taken GROUP BY cid)",
+    "kept AS (SELECT nw.cid, CAST(list_position(chosen, nw.rank) AS INTEGER) AS pos, nw.rank, sent AS orig FROM nw JOIN last USING (cid) WHERE list_contains(chosen, nw.rank))",
+]
 _TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 _GRAMS = {
     "rouge1": "SELECT {k}, ws[i] AS g FROM {t}, unnest(generate_series(1, len(ws))) AS x(i)",
@@ -129,6 +144,12 @@ def _rouge_sql(metric: str, length: int | None) -> str:
 
 ORACLE = {
     "select_budget_cos1": S.select(*_SELECT, "SELECT cid, pos, rank, orig FROM sel"),
+    "select_budget_cos06": S.select(S.BASE, S.top(90), "rr AS (SELECT cid, rank, sent FROM tk)", *_ALIKE, "SELECT * FROM kept", recursive=True),
+    "centrality_summary": S.select(
+        *similarity.GRAPH, similarity.walk_sql("rel"), similarity.greedy_sql(4),
+        "rr AS (SELECT rec.cid, rec.step AS rank, tk.sent FROM rec JOIN nd ON nd.cid = rec.cid AND nd.i = rec.k - 1 JOIN tk ON tk.cid = nd.cid AND tk.doc_id = nd.doc_id AND tk.sent_idx = nd.sent_idx WHERE step > 0)",
+        *_ALIKE, "SELECT cid, string_agg(orig, chr(10) ORDER BY pos) AS summary FROM kept GROUP BY cid", recursive=True,
+    ),
     "summary_text": S.select(*_SELECT, "SELECT cid, text AS summary FROM summ"),
     "lead_docs_50": S.select(
         S.DOCS, S.SENTENCES, "n AS (SELECT cid, doc_id, count(*) AS n FROM s GROUP BY ALL)",
