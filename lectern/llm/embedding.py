@@ -52,29 +52,35 @@ def tables_for(count: int, threshold: float, recall: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
 
 
-def _keyed(batches):
-    """Valid vectors as raw doubles, with a digest; the rest with null."""
-    for batch in batches:
-        data, digest, dims = [], [], []
-        for v, label in zip(batch.column("embedding").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            x = np.array(v, np.float64) if v and label is not None and None not in v else None
-            if x is None or not np.isfinite(x).all() or not x.any():
-                data.append(None)
-                digest.append(None)
-                dims.append(None)
-                continue
-            raw = (x / np.abs(x).max() + 0.0).tobytes()  # the cosine knows no scale; the sum makes zeros positive
-            data.append(raw)
-            dims.append(len(x))
-            digest.append(hashlib.blake2b(raw, digest_size=16).hexdigest())
-        yield common.batch_of(
-            vec_id=batch.column("vec_id"), label=batch.column("label"), dim=pa.array(dims, pa.int32()),
-            digest=pa.array(digest, pa.string()), data=pa.array(data, pa.binary()),
-        )
+def _keyed(dtype: str):
+    """Valid vectors as raw numbers, with a digest; the rest with null."""
+
+    def step(batches):
+        for batch in batches:
+            data, digest, dims = [], [], []
+            for v, label in zip(batch.column("embedding").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                x = np.array(v, dtype) if v and label is not None and None not in v else None
+                if x is None or not np.isfinite(x).all() or not x.any():
+                    data.append(None)
+                    digest.append(None)
+                    dims.append(None)
+                    continue
+                raw = (x + x.dtype.type(0)).tobytes()  # the sum makes zeros positive
+                data.append(raw)
+                dims.append(len(x))
+                digest.append(hashlib.blake2b(raw, digest_size=16).hexdigest())
+            yield common.batch_of(
+                vec_id=batch.column("vec_id"), label=batch.column("label"), dim=pa.array(dims, pa.int32()),
+                digest=pa.array(digest, pa.string()), data=pa.array(data, pa.binary()),
+            )
+
+    return step
 
 
-def _units(data: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(data), np.float64).reshape(len(data), -1)
+def _units(data: list[bytes], dtype: str) -> np.ndarray:
+    """Unit vectors in double precision."""
+    x = np.frombuffer(b"".join(data), dtype).astype(np.float64).reshape(len(data), -1)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -85,13 +91,13 @@ def _codes(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return signs.reshape(len(x), tables, bits) @ (1 << np.arange(bits))
 
 
-def _dealt(bits: int, tables: int):
+def _dealt(bits: int, tables: int, dtype: str):
     def step(batches):
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
                 own = batch.filter(pa.array(dims == dim))
-                codes = _codes(_units(own.column("data").to_pylist()), bits, tables)
+                codes = _codes(_units(own.column("data").to_pylist(), dtype), bits, tables)
                 row = pa.array(np.repeat(np.arange(own.num_rows), tables))
                 packed = [c.astype("<i4").tobytes() for c in codes]
                 yield common.batch_of(
@@ -142,7 +148,7 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _compared(threshold: float):
+def _compared(threshold: float, dtype: str):
     names = ["label", "dim", "tab", "key", "ti", "tj"]
 
     def group(rows: pa.RecordBatch):
@@ -151,7 +157,7 @@ def _compared(threshold: float):
         rep, mult, chunk = (rows.column(c).to_numpy() for c in ("rep", "mult", "chunk"))
         order = np.argsort(rep, kind="stable")
         rep, mult, chunk = rep[order], mult[order], chunk[order]
-        x = _units(rows.column("data").to_pylist())[order]
+        x = _units(rows.column("data").to_pylist(), dtype)[order]
         codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), "<i4").reshape(len(x), -1)[order]
         tab, ti, tj = (rows.column(c)[0].as_py() for c in ("tab", "ti", "tj"))
         left = np.flatnonzero(chunk == ti)
@@ -205,8 +211,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     the vector whose id that is.  Rows without vec_id are left out of links but keep a row with null ids.
     """
     n = common.partitions(vectors.sparkSession)
+    dtype = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
     slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.when(F.col("vec_id").isNotNull(), F.col("label").cast("long")).alias("label"))
-    rows = common.arrow_map(slim, _keyed, "vec_id long, label long, dim int, digest string, data binary")
+    rows = common.arrow_map(slim, _keyed(dtype), "vec_id long, label long, dim int, digest string, data binary")
     members = common.durable(rows)
     ids = ["label", "dim", "digest"]
     reps = members.where("data IS NOT NULL").groupBy(*ids).agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("data").alias("data"))
@@ -214,7 +221,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     most = reps.groupBy("label", "dim").count().agg(F.max("count")).first()[0]
     if not most:
         return members.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dealt = common.arrow_map(reps.select("label", "dim", "rep", "mult", "data"), _dealt(*tables_for(most, threshold, recall)), "label long, dim int, tab int, key long, rep long, mult long, codes binary, data binary")
+    dealt = common.arrow_map(reps.select("label", "dim", "rep", "mult", "data"), _dealt(*tables_for(most, threshold, recall), dtype), "label long, dim int, tab int, key long, rep long, mult long, codes binary, data binary")
     cell = ["label", "dim", "tab", "key"]
     large = dealt.groupBy(*cell).count().where(F.col("count") > TILE).select(*cell, F.ceil(F.col("count") / (TILE // 2)).cast("int").alias("tiles"))
     tiled = dealt.join(large, cell, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
@@ -222,7 +229,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.withColumn("ti", F.least("chunk", "other")).withColumn("tj", F.greatest("chunk", "other"))
     tiled = tiled.repartition(n, *cell, "ti", "tj").sortWithinPartitions(*cell, "ti", "tj")
-    found = common.durable(common.arrow_map(tiled.select(*cell, "ti", "tj", "chunk", "rep", "mult", "codes", "data"), _compared(threshold), "u long, v long, n long"))
+    found = common.durable(common.arrow_map(tiled.select(*cell, "ti", "tj", "chunk", "rep", "mult", "codes", "data"), _compared(threshold, dtype), "u long, v long, n long"))
     links = found.where("v IS NULL").groupBy("u").agg(F.sum("n").alias("n"))
     parts = components(found.where("v IS NOT NULL").select("u", "v"))
     named = reps.join(links, reps["rep"] == links["u"], "left").join(parts, reps["rep"] == parts["node"], "left")
