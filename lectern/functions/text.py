@@ -11,7 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from .porter import stem
+from lectern.shipping import ship
+
+from .porter import stem as porter_stem
 from .stopwords import ENGLISH
 
 SPACE = "[ \\t\\n\\r]+"
@@ -70,12 +72,12 @@ def is_short(text: Column, least: int = MIN_WORDS) -> Column:
 @F.pandas_udf(StringType())
 def stemmed(text: pd.Series) -> pd.Series:
     """Each white-space token stemmed, re-joined by spaces."""
-    return text.map(lambda s: None if s is None else " ".join(stem(w) for w in s.split()))
+    return text.map(lambda s: None if s is None else " ".join(porter_stem(w) for w in s.split()))
 
 
 @F.pandas_udf(ArrayType(StringType()))
 def stemmed_terms(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+    return tokens.map(lambda ws: None if ws is None else [porter_stem(w) for w in ws])
 
 
 def normalise(text: Column, rm_short: bool = False, rm_dialog: bool = False, rm_stop: bool = False, stem: bool = False, quoted_reports: bool = False) -> Column:
@@ -88,7 +90,10 @@ def normalise(text: Column, rm_short: bool = False, rm_dialog: bool = False, rm_
         out = F.when(~is_dialogue(base, quoted_reports), out)
     if rm_stop:
         out = without_stopwords(out)
-    return stemmed(out) if stem else out
+    if stem:
+        ship()
+        return stemmed(out)
+    return out
 
 
 def digit_mask(word: Column) -> Column:

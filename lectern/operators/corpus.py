@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.shipping import ship
 
 #: Clusters with a query of their own in the benchmark table.
 CLUSTERS = 20
@@ -67,6 +68,8 @@ def paragraphs(docs: DataFrame, most: int | None = None, tiled: bool = False) ->
     from lectern.functions.tiling import tiles
 
     other = [c for c in docs.columns if c != "text"]
+    if tiled:
+        ship(docs.sparkSession)
     parts = tiles(F.col("text")) if tiled else T.split_paragraphs(F.col("text"))
     docs = docs.select(*other, parts.alias("parts"))
     return docs.select(*other, F.posexplode(F.slice("parts", 1, most) if most else F.col("parts")).alias("para_idx", "para"))

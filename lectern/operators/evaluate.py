@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.shipping import ship
 
 LENGTH, GAP = 250, 4
 METRICS = ("rouge1", "rouge2", "rougeSU4")
@@ -19,7 +20,10 @@ _TOKEN = "[\\p{L}\\p{N}]+"
 def tokens(text: Column, length: int | None = LENGTH, stem: bool = False) -> Column:
     out = F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
     out = out if length is None else F.slice(out, 1, length)
-    return T.stemmed_terms(out) if stem else out
+    if stem:
+        ship()
+        return T.stemmed_terms(out)
+    return out
 
 
 def _grams(words: Column, metric: str) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import vectors as V
+from lectern.shipping import ship
 
 DAMP, STEPS = 0.85, 30
 NODE = ["cid", "doc_id", "sent_idx"]
@@ -83,6 +84,7 @@ def markov(numbered: DataFrame, edges: DataFrame, damp: float = DAMP, steps: int
             p = damp * (p @ m + p[lone].sum() * rel) + (1 - damp) * rel
         return pd.DataFrame({"cid": key[0], "i": own["i"].to_numpy(), "score": p})
 
+    ship(numbered.sparkSession)
     both = _own(numbered, "cid", "i", "rel").groupBy("cid").cogroup(_own(edges, "cid", "i", "j", "w").groupBy("cid"))
     return both.applyInPandas(walk, "cid string, i int, score double")
 
@@ -118,5 +120,6 @@ def diversity_rank(scored: DataFrame, edges: DataFrame, omega: float) -> DataFra
         order, at = diverse_order(own["score"].to_numpy(), _matrix(len(own), links), omega)
         return pd.DataFrame({"cid": key[0], "i": own["i"].to_numpy()[order], "rank": np.arange(1, len(order) + 1), "score": at})
 
+    ship(scored.sparkSession)
     both = _own(scored, "cid", "i", "score").groupBy("cid").cogroup(_own(edges, "cid", "i", "j", "w").groupBy("cid"))
     return both.applyInPandas(pick, "cid string, i int, rank int, score double")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.shipping import ship
 
 BUDGET, COSINE = 500, 0.6
 LEAD_DOCUMENTS, LEAD_SENTENCES = 10, 50
@@ -49,6 +50,7 @@ def select(ranked: DataFrame, budget: int = BUDGET, cosine: float = COSINE) -> D
         own = own.iloc[taken]
         return pd.DataFrame({"cid": key[0], "pos": range(1, len(taken) + 1), "rank": own["rank"].to_numpy(), "orig": own["orig"].to_numpy()})
 
+    ship(rows.sparkSession)
     return rows.groupBy("cid").applyInPandas(walk, "cid string, pos int, rank int, orig string")
 
 

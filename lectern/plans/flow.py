@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lectern.operators import corpus, ensemble, evaluate, graph, passages, rank, scoring, summarize
+from lectern.shipping import ship
 
 Scorer = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -38,6 +39,7 @@ def model_scorer(load: Callable[[], Callable[[list[str], list[str]], list[float]
         for query, sent in batches:
             yield pd.Series(model(query.str[:most].tolist() if most else query.tolist(), sent.tolist()), dtype="float64")
 
+    ship()
     return lambda sents, queries: sents.join(queries, "cid").withColumn("score", score("query", "sent")).drop("query")
 
 
