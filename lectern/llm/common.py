@@ -10,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.shipping import ship
+
 #: Bytes of text that one vectorised step handles at a time.
 SLICE_BYTES = 2 << 20
 
@@ -79,6 +81,7 @@ def arrow_map(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator
     conf = df.sparkSession.conf
     if conf.get(BATCH_CONF, None) is None:
         conf.set(BATCH_CONF, str(BATCH_BYTES))
+    ship(df.sparkSession)
     return df.mapInArrow(step, schema)
 
 
