@@ -19,7 +19,7 @@ def ship(spark: SparkSession | None = None) -> None:
     if spark is None or getattr(spark.sparkContext, "_lectern_shipped", False):
         return
     home = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="lectern-"), "lectern.zip")
+    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="lectern-")), "lectern.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
         for folder, _, names in sorted(os.walk(home)):
             for name in sorted(names):
