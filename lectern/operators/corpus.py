@@ -21,7 +21,13 @@ def documents(spark: SparkSession, sf_dir: str, lang: str | None = "en") -> Data
     """(cid, doc_id, text); the cluster of a document is its source."""
     docs = table(spark, sf_dir, "documents")
     docs = docs if lang is None else docs.where(F.col("lang") == lang)
-    return docs.select(F.col("source").alias("cid"), "doc_id", "text")
+    return spread(docs.select(F.col("source").alias("cid"), "doc_id", "text"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over as many tasks as the cluster runs at once, where the files alone give fewer; large tables stay as they are."""
+    least = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(least) if rows.rdd.getNumPartitions() < least else rows
 
 
 def cluster_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,10 @@ def query_profiles(queries: DataFrame, tokens=None) -> DataFrame:
 
 
 def _matches(tokens):
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a + F.coalesce(F.try_element_at(F.col("q_tf"), t), F.lit(0).cast("long")))
+    """The dot product of counts: over the terms shared with the query, of which there are few, found by hashing."""
+    shared = F.array_intersect(tokens, F.map_keys("q_tf"))
+    each = lambda a, t: a + F.try_element_at(F.col("q_tf"), t) * F.size(F.filter(tokens, lambda x: x == t))
+    return F.coalesce(F.aggregate(shared, F.lit(0).cast("long"), each), F.lit(0).cast("long"))
 
 
 def tf_relevance(sents: DataFrame, queries: DataFrame, text: str = "sent") -> DataFrame:
