@@ -1,13 +1,20 @@
 """Sentence graphs: components, Markov centrality, and redundancy-penalised ranking.
 
-A graph's nodes come from a bounded retrieval (top k of a cluster), so a cluster's matrix fits in a worker.  The two
-sequential loops run as one grouped function a cluster, on the nodes and edges of that cluster together.
+Where a graph's nodes come from a bounded retrieval (top k of a cluster), a cluster's matrix fits in a worker, and the
+two sequential loops run as one grouped function a cluster, on the nodes and edges of that cluster together.  The walk
+over all sentences of a cluster (``stationary``) never builds that matrix.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +23,8 @@ from lectern.shipping import ship
 
 DAMP, STEPS = 0.85, 30
 NODE = ["cid", "doc_id", "sent_idx"]
+#: Row sums of similarities up to this are the rounding of none: weights of shared terms are far larger.
+NOTHING = 1e-9
 
 
 def nodes(rows: DataFrame, scale: bool = False, passage: bool = False, score: str = "score") -> DataFrame:
@@ -36,6 +45,16 @@ def nodes(rows: DataFrame, scale: bool = False, passage: bool = False, score: st
     return rows.withColumn("i", F.row_number().over(order) - 1).drop("_x", "_y")
 
 
+def in_document_order(rows: DataFrame) -> DataFrame:
+    """All sentences of a cluster with ``i``, a dense number in document order. Only its documents, not its sentences, meet in one task."""
+    from pyspark.sql import Window
+
+    before = Window.partitionBy("cid").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("cid", "doc_id").agg(F.count("*").alias("_n")).select("cid", "doc_id", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("cid", "doc_id").orderBy("sent_idx"))
+    return rows.join(starts, ["cid", "doc_id"]).withColumn("i", (F.col("_start") + own - 1).cast("int")).drop("_start")
+
+
 def edges(similar: DataFrame, numbered: DataFrame) -> DataFrame:
     """(cid, i, j, w): similarity edges between numbered nodes. Both ends must be nodes."""
     a = numbered.select("cid", F.col("doc_id").alias("i_doc"), F.col("sent_idx").alias("i_sent"), "i")
@@ -89,6 +108,120 @@ def markov(numbered: DataFrame, edges: DataFrame, damp: float = DAMP, steps: int
     return both.applyInPandas(walk, "cid string, i int, score double")
 
 
+def _unpacked(batches):
+    for batch in batches:
+        for x in batch.column("block").to_pylist():
+            cids, code, doc, sent, score, n = pickle.loads(x)
+            cid = pa.DictionaryArray.from_arrays(pa.array(code), pa.array(cids, pa.string())).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([cid, pa.array(doc), pa.array(sent), pa.array(score), pa.array(n, pa.int64())], names=[*NODE, "score", "n"])
+
+
+def stationary(sents: DataFrame, vocabulary: DataFrame, damp: float = DAMP, steps: int = STEPS) -> DataFrame:
+    """(cid, doc_id, sent_idx, score, n): ``markov`` with equal shares over all n sentences of each cluster, whatever their number.
+
+    sents: (cid, doc_id, sent_idx, terms); vocabulary: (cid, term, idf), with every term.  With W the matrix of TF-IDF
+    weights, of length 1 a sentence, similarity is W W' less its diagonal of ones, so a step is two passes over the terms:
+    mass goes from sentences to terms, the sums of all tasks meet in the driver (a number a term and cluster), and come back.
+    Sentences stay where they are, in blocks of term numbers and counts.  The steps run when this is called.
+    """
+    spark = sents.sparkSession
+    context = spark.sparkContext
+    ship(spark)
+    known = vocabulary.select(F.xxhash64("cid", "term").alias("h"), "idf").toArrow()
+    hashes, idf = known["h"].to_numpy(), known["idf"].to_numpy()
+    order = np.argsort(hashes)
+    hashes, idf = hashes[order], idf[order]
+    if (hashes[1:] == hashes[:-1]).any():
+        raise ValueError("two terms have one hash")
+    n_terms, words = len(hashes), context.broadcast((hashes, idf))
+
+    def packed(batches):
+        """Pickled blocks: cids, code of each row's cid, doc_id, sent_idx, terms a row, their numbers and counts."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cid, h = batch.column("cid").dictionary_encode(), batch.column("h")
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(h).to_numpy(zero_copy_only=False))
+            at = np.searchsorted(words.value[0], h.flatten().to_numpy())
+            pair, tf = np.unique(row * n_terms + at, return_counts=True)
+            row, t = np.divmod(pair, max(n_terms, 1))
+            tf = tf.astype(np.min_scalar_type(tf.max(initial=0)))
+            block = cid.dictionary.to_pylist(), cid.indices.to_numpy(), batch.column("doc_id").to_numpy(), batch.column("sent_idx").to_numpy(), np.bincount(row, minlength=batch.num_rows).astype(np.int32), t.astype(np.int32), tf
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], names=["block"])
+
+    single = BatchedSerializer(CPickleSerializer(), 1)  # equal batches, or zip would serialise all blocks again
+    rows = sents.select(*NODE, F.transform("terms", lambda t: F.xxhash64("cid", t)).alias("h"))
+    blocks = rows.mapInArrow(packed, "block binary").rdd.coalesce(context.defaultParallelism)  # one sum a core comes to the driver
+    blocks = blocks.map(lambda r: bytes(r[0]))._reserialize(single).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def sizes(x: bytes):
+        cids, code, *_ = pickle.loads(x)
+        return list(zip(cids, map(int, np.bincount(code, minlength=len(cids))), strict=True))
+
+    found = blocks.flatMap(sizes).reduceByKey(int.__add__).collectAsMap()
+    if not found:
+        return spark.createDataFrame([], "cid string, doc_id long, sent_idx int, score double, n long")
+    place = {c: k for k, c in enumerate(sorted(found))}
+    n_of, n_clusters = np.array([found[c] for c in place], float), len(place)
+
+    def opened(x: bytes):
+        """(cluster of each row, row and term of each weight, weight)"""
+        cids, code, _, _, each, t, tf = pickle.loads(x)
+        row = np.repeat(np.arange(len(code)), each)
+        raw = tf * words.value[1][t]
+        norm = np.sqrt(np.bincount(row, raw * raw, len(code)))
+        return np.array([place[c] for c in cids])[code], row, t, raw / norm[row]
+
+    def summed(pairs, mass):
+        """The terms' sums over all rows, then the clusters' sums of what lies on rows without edges."""
+
+        def part(those):
+            out = np.zeros(n_terms + n_clusters)
+            for x, state in those:
+                k, row, t, w = opened(x)
+                linked, lone = mass(state, len(k))
+                np.add.at(out, t, w * linked[row])
+                out[n_terms:] += np.bincount(k, lone, n_clusters)
+            yield out
+
+        return context.broadcast(pairs.mapPartitions(part).reduce(np.add))
+
+    def spread_mass(state, _):
+        total, p = state
+        alone = total <= NOTHING
+        return np.where(alone, 0.0, p / np.where(alone, 1.0, total)), np.where(alone, p, 0.0)
+
+    def begin(x: bytes, sums):
+        k, row, t, w = opened(x)
+        return np.bincount(row, w * sums.value[t], len(k)) - (np.bincount(row, minlength=len(k)) > 0), 1 / n_of[k]
+
+    def move(pair, sums):
+        x, state = pair
+        k, row, t, w = opened(x)
+        linked, _ = spread_mass(state, None)
+        flow = np.bincount(row, w * sums.value[t], len(k)) - linked
+        return state[0], damp * (flow + sums.value[n_terms:][k] / n_of[k]) + (1 - damp) / n_of[k]
+
+    first = summed(blocks.map(lambda x: (x, None)), lambda _, n: (np.ones(n), np.zeros(n)))
+    state = blocks.map(lambda x: begin(x, first))._reserialize(single).persist(StorageLevel.MEMORY_AND_DISK)
+    sums = summed(blocks.zip(state), spread_mass)
+    for k in range(steps):
+        last, state = state, blocks.zip(state).map(lambda pair, sums=sums: move(pair, sums))._reserialize(single).persist(StorageLevel.MEMORY_AND_DISK)
+        used = sums
+        if k < steps - 1:
+            sums = summed(blocks.zip(state), spread_mass)
+        else:
+            state.count()
+        last.unpersist()
+        used.unpersist()  # a lost executor can still fetch it again
+
+    def result(pair):
+        cids, code, doc, sent, *_ = pickle.loads(pair[0])
+        return (pickle.dumps((cids, code, doc, sent, pair[1][1], n_of[np.array([place[c] for c in cids])[code]].astype(np.int64))),)
+
+    return spark.createDataFrame(blocks.zip(state).map(result), "block binary").mapInArrow(_unpacked, "cid string, doc_id long, sent_idx int, score double, n long")
+
+
 def diverse_order(score: np.ndarray, p: np.ndarray, omega: float) -> tuple[list[int], list[float]]:
     """Picks the best again and again; each pick lowers every other by omega * p[other, pick] * the pick's first score."""
     left, now = np.ones(len(score), bool), score.astype(float).copy()

@@ -84,6 +84,16 @@ def tfidf_weights(nodes: DataFrame, queries: DataFrame | None, key: list[str], t
     return raw.select(*key, "term", (F.col("raw") / norm).alias("w"))
 
 
+def document_idf(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(cid, term, idf): ln((1 + n) / (1 + df)) + 1 over the cluster's documents that have any text.
+
+    A document is one row, so its terms are told apart in the row.
+    """
+    n = docs.where(T.collapse(F.col(text)) != "").groupBy("cid").agg(F.count("*").alias("n"))
+    df = docs.select("cid", F.explode(F.array_distinct(T.terms(F.col(text)))).alias("term")).groupBy("cid", "term").agg(F.count("*").alias("df"))
+    return df.join(F.broadcast(n), "cid").select("cid", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
 def similarity_edges(weights: DataFrame, key: list[str], other_document: bool = False) -> DataFrame:
     """(cid, i keys, j keys, w): cosine of every ordered pair of different sentences that share a term.
 

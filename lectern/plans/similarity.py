@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.functions import vectors as V
 from lectern.operators import corpus, graph, rank, scoring
 
 from . import sql as S
-from .retrieval import KEY, scored
+from .retrieval import KEY, english_sentences, scored
 
 NODES = 30
 EDGE = ["cid", "i_doc", "i_sent", "j_doc", "j_sent"]
@@ -50,7 +51,8 @@ def sim_edges_cross_doc(spark, sf_dir):
 
 
 def doc_level_idf_edges(spark, sf_dir):
-    weights = scoring.tfidf_weights(top_sentences(spark, sf_dir), None, KEY, unit=["doc_id"])
+    """All sentences of each cluster: as many pairs as share a term."""
+    weights = scoring.tfidf_weights(english_sentences(spark, sf_dir), None, KEY, unit=["doc_id"])
     return scoring.similarity_edges(weights, KEY).select(*EDGE, F.round("w", 6).alias("w"))
 
 
@@ -91,12 +93,15 @@ def markov_unbiased(spark, sf_dir):
 
 
 def lexrank_baseline(spark, sf_dir):
-    """Document frequencies, no query: the ranking of the stationary walk."""
-    nodes = _nodes(spark, sf_dir)
-    weights = scoring.tfidf_weights(top_sentences(spark, sf_dir), None, KEY, unit=["doc_id"])
-    edges = graph.edges(scoring.similarity_edges(weights, KEY), nodes)
-    out = rank.ranked(graph.markov(nodes, edges, 1.0), ties=("i",))
-    return out.select("cid", "i", "rank", F.round("score", 6).alias("score"))
+    """All sentences of each cluster, document frequencies, no query: the ranking of the stationary walk.
+
+    Shares of many sentences are small: they rank as multiples of an equal share and keep twelve places.
+    """
+    docs = corpus.documents(spark, sf_dir).where("cid IS NOT NULL")
+    sents = corpus.sentences(docs).select(*KEY, T.terms(F.col("sent")).alias("terms"))
+    out = graph.in_document_order(graph.stationary(sents, scoring.document_idf(docs)))
+    out = rank.ranked(out.withColumn("times", F.col("score") * F.col("n")), score="times", ties=("i",))
+    return out.select("cid", "i", "rank", F.round("score", 12).alias("score"))
 
 
 def _diverse(spark, sf_dir, omega: float) -> DataFrame:
