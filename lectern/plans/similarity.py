@@ -10,32 +10,38 @@ from lectern.functions import vectors as V
 from lectern.operators import corpus, graph, rank, scoring
 
 from . import sql as S
-from .retrieval import KEY, english_sentences, scored
+from .retrieval import KEY, TOP_K, english_sentences, scored
 
+#: The nodes in the registered SQL; the plans take the reference's bound, TOP_K.
 NODES = 30
 EDGE = ["cid", "i_doc", "i_sent", "j_doc", "j_sent"]
 
 
-def top_sentences(spark, sf_dir, k: int = NODES) -> DataFrame:
+def top_sentences(spark, sf_dir, k: int = TOP_K) -> DataFrame:
     """The graph's nodes: the k best sentences of each cluster, of those that score."""
     return rank.top_k(rank.prune(scored(spark, sf_dir)), k)
 
 
 def _weights(spark, sf_dir) -> DataFrame:
+    """Of the graph's nodes."""
     return scoring.tfidf_weights(top_sentences(spark, sf_dir), _queries(spark, sf_dir), KEY)
 
 
+def _all_weights(spark, sf_dir) -> DataFrame:
+    return scoring.tfidf_weights(english_sentences(spark, sf_dir), _queries(spark, sf_dir), KEY)
+
+
 def _queries(spark, sf_dir) -> DataFrame:
     """Queries of the clusters that have nodes; others would be rows of empty clusters."""
     return corpus.cluster_queries(spark, sf_dir)
 
 
 def tfidf_weights(spark, sf_dir):
-    return _weights(spark, sf_dir).where("doc_id IS NOT NULL").select(*KEY, "term", F.round("w", 6).alias("w"))
+    return _all_weights(spark, sf_dir).where("doc_id IS NOT NULL").select(*KEY, "term", F.round("w", 6).alias("w"))
 
 
 def tfidf_query_relevance(spark, sf_dir):
-    return scoring.query_similarity(_weights(spark, sf_dir), KEY).select(*KEY, F.round("score", 6).alias("score"))
+    return scoring.query_similarity(_all_weights(spark, sf_dir), KEY).select(*KEY, F.round("score", 6).alias("score"))
 
 
 def edges_of(spark, sf_dir, other_document: bool = False) -> DataFrame:
@@ -148,20 +154,20 @@ def masked_rank(spark, sf_dir):
 
 
 def softmax_scores(spark, sf_dir):
-    rows = top_sentences(spark, sf_dir)
+    rows = scored(spark, sf_dir)
     return rows.select(*KEY, F.round(V.softmax(F.col("score"), "cid"), 6).alias("score"))
 
 
 def minmax_scores(spark, sf_dir):
-    return rank.scaled(top_sentences(spark, sf_dir)).select(*KEY, F.round("score", 6).alias("score"))
+    return rank.scaled(scored(spark, sf_dir)).select(*KEY, F.round("score", 6).alias("score"))
 
 
 def rel_l1(spark, sf_dir):
-    return graph.nodes(top_sentences(spark, sf_dir), scale=True).select(*KEY, F.round("rel", 6).alias("rel"))
+    return graph.nodes(scored(spark, sf_dir), scale=True).select(*KEY, F.round("rel", 6).alias("rel"))
 
 
 def rel_sqrt_tanh_l1(spark, sf_dir):
-    return graph.nodes(top_sentences(spark, sf_dir), passage=True).select(*KEY, F.round("rel", 6).alias("rel"))
+    return graph.nodes(scored(spark, sf_dir), passage=True).select(*KEY, F.round("rel", 6).alias("rel"))
 
 
 QUERIES = {

@@ -73,3 +73,31 @@ def test_document_frequencies_of_all_sentences(spark, folder):
         want |= {(cid, rows[i][0], rows[j][0]): m[i, j] for i, j in zip(*np.nonzero(m), strict=True)}
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
+def test_graph_nodes_reach_the_bound(spark, folder):
+    best = sum("asked" in r["sent"] or {"w1", "w2"} & set(TERM.findall(r["sent"])) != set() for r in retrieval.english_sentences(spark, folder).where("cid = 'src0'").collect())
+    rows = registry.QUERIES["graph_nodes"](spark, folder).where("cid = 'src0'").collect()
+    assert len(rows) == min(best, retrieval.TOP_K) > 30
+
+
+def test_weights_of_all_sentences(spark, folder):
+    got = {(r["cid"], (r["doc_id"], r["sent_idx"]), r["term"]): r["w"] for r in registry.QUERIES["tfidf_weights"](spark, folder).collect()}
+    queries, want = {"src0": {"asked", "w1", "w2"}, "src1": {"nothing", "shared"}}, {}
+    for cid, rows in clusters(spark, folder).items():
+        every = [set(c) for _, c in rows] + [queries[cid] for _ in "x" if cid in queries]
+        df = Counter(t for x in every for t in x)
+        for key, c in rows:
+            raw = {t: n * (math.log((1 + len(every)) / (1 + df[t])) + 1) for t, n in c.items()}
+            norm = math.sqrt(sum(x * x for x in raw.values()))
+            want |= {(cid, key, t): x / norm for t, x in raw.items()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
+def test_scaling_of_all_sentences(spark, folder):
+    scores = {(r["cid"], r["doc_id"], r["sent_idx"]): r["score"] for r in retrieval.scored(spark, folder).collect()}
+    own = lambda k: [x for c, x in scores.items() if c[0] == k[0]]
+    soft = {(r["cid"], r["doc_id"], r["sent_idx"]): r["score"] for r in registry.QUERIES["softmax_scores"](spark, folder).collect()}
+    assert soft == {k: pytest.approx(math.exp(x) / sum(map(math.exp, own(k))), abs=1e-6) for k, x in scores.items()}
+    flat = {(r["cid"], r["doc_id"], r["sent_idx"]): r["score"] for r in registry.QUERIES["minmax_scores"](spark, folder).collect()}
+    assert flat == {k: pytest.approx(x / max(own(k)) if max(own(k)) else 0.0, abs=1e-6) for k, x in scores.items()}
