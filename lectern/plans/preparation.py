@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import corpus, summarize
+from lectern.operators import corpus
 from lectern.sources import readers
 
 from . import sql as S
@@ -128,8 +128,8 @@ def context_turns(spark, sf_dir):
 
 
 def length_masks(spark, sf_dir):
-    """The clip of a document's sentences with its mask."""
-    docs = summarize.lead(corpus.sentences(corpus.documents(spark, sf_dir))).groupBy("cid", "doc_id").agg(F.count("*").cast("int").alias("n"))
+    """The clip of every document's sentences with its mask."""
+    docs = corpus.sentences(corpus.documents(spark, sf_dir)).groupBy("cid", "doc_id").agg(F.count("*").cast("int").alias("n"))
     return docs.select("cid", "doc_id", F.array_join(T.length_mask(F.col("n"), 20).cast("array<string>"), "").alias("mask"))
 
 

@@ -101,3 +101,9 @@ def test_scaling_of_all_sentences(spark, folder):
     assert soft == {k: pytest.approx(math.exp(x) / sum(map(math.exp, own(k))), abs=1e-6) for k, x in scores.items()}
     flat = {(r["cid"], r["doc_id"], r["sent_idx"]): r["score"] for r in registry.QUERIES["minmax_scores"](spark, folder).collect()}
     assert flat == {k: pytest.approx(x / max(own(k)) if max(own(k)) else 0.0, abs=1e-6) for k, x in scores.items()}
+
+
+def test_masks_of_all_documents(spark, folder):
+    got = {(r["cid"], r["doc_id"]): r["mask"] for r in registry.QUERIES["length_masks"](spark, folder).collect()}
+    sizes = Counter((cid, k[0]) for cid, rows in clusters(spark, folder).items() for k, _ in rows)
+    assert got == {k: ("1" * min(n, 20)).ljust(20, "0") for k, n in sizes.items()} and len(got) == 20
