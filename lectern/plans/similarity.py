@@ -67,7 +67,8 @@ def row_l1_edges(spark, sf_dir):
 
 
 def bow_cosine_pairs(spark, sf_dir):
-    rows = top_sentences(spark, sf_dir, 10).select("cid", "rank", "sent")
+    """Pairs of the ranked sentences that the selector compares."""
+    rows = top_sentences(spark, sf_dir, TOP_K).select("cid", "rank", "sent")
     pairs = rows.alias("a").join(rows.alias("b"), "cid").where("a.rank < b.rank")
     return pairs.select("cid", F.col("a.rank").alias("i"), F.col("b.rank").alias("j"), F.round(scoring.bow_cosine(F.col("a.sent"), F.col("b.sent")), 6).alias("cosine"))
 

@@ -107,3 +107,11 @@ def test_masks_of_all_documents(spark, folder):
     got = {(r["cid"], r["doc_id"]): r["mask"] for r in registry.QUERIES["length_masks"](spark, folder).collect()}
     sizes = Counter((cid, k[0]) for cid, rows in clusters(spark, folder).items() for k, _ in rows)
     assert got == {k: ("1" * min(n, 20)).ljust(20, "0") for k, n in sizes.items()} and len(got) == 20
+
+
+def test_pairs_of_all_ranked_sentences(spark, folder):
+    ranked = {r["rank"]: Counter(r["sent"].split()) for r in registry.QUERIES["rank_records"](spark, folder).where("cid = 'src0'").collect()}
+    norm = lambda c: math.sqrt(sum(n * n for n in c.values()))
+    want = {(i, j): sum(n * b[t] for t, n in a.items()) / norm(a) / norm(b) for i, a in ranked.items() for j, b in ranked.items() if i < j}
+    got = {(r["i"], r["j"]): r["cosine"] for r in registry.QUERIES["bow_cosine_pairs"](spark, folder).where("cid = 'src0'").collect()}
+    assert len(want) > 45 and got == {k: pytest.approx(x, abs=1e-6) for k, x in want.items()}
