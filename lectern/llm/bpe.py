@@ -83,7 +83,11 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens): lengths only, so that ids do not leave the worker."""
+    """(doc_id, n_tokens): lengths only, so that ids do not leave the worker.
+
+    Null and empty texts have 0 tokens; very long ones are encoded whole, in parts; repeated rows each give a row; other columns
+    play no part; an empty table gives no rows.
+    """
 
     def step(batches):
         encoder = encoding(path, pattern)
@@ -96,8 +100,12 @@ def count_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of the bytes decoded from them.
 
-    Encodes and decodes in one pass over the texts, so that neither ids nor bytes are copied between processes.
+    Encodes and decodes in one pass over the texts, so that neither ids nor bytes are copied between processes.  Null counts
+    as empty, which gives 0 tokens and the digests of nothing; very long texts are encoded whole, in parts cut where no
+    match of the pattern spans; equal texts have equal digests; repeated rows and rows without doc_id each give a row; other
+    columns play no part; an empty table gives no rows.
     """
+
     def digest(data: bytes) -> str:
         return hashlib.sha256(data).hexdigest()
 

@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.shipping import ship
 
@@ -62,12 +63,18 @@ def plain(column: pa.Array, kind: pa.DataType) -> pa.Array:
     return column if column.type == kind else column.cast(kind)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of whole rows with about ``limit`` bytes of ``column``; a longer row stands alone."""
+def child(batch: pa.RecordBatch, column: str, field: str | None = None) -> pa.Array:
+    """A column of the batch, or the field of a column of structs."""
+    array = batch.column(column)
+    return array if field is None else pc.struct_field(array, field)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, field: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of whole rows with about ``limit`` bytes of ``column`` (or its ``field``); a longer row stands alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        size = pc.fill_null(pc.binary_length(child(batch, column, field)), 0).to_numpy(zero_copy_only=False)
         total = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
         at = 0
         while at < batch.num_rows:
@@ -85,6 +92,37 @@ def arrow_map(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(step, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of the table has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def own_name(df: DataFrame, name: str) -> str:
+    """The column's name as the table spells it."""
+    return next(c for c in df.columns if c.lower() == name.lower())
+
+
+def hot_share(counted: DataFrame, count: str, n: int) -> Column:
+    """Whether a key has so many rows that its share would stand out among ``n`` tasks: true for 4 n keys at most."""
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    return F.col(count) * (4 * n) >= F.lit(max(total, 1))
+
+
+def join_by_key(rows: DataFrame, named: DataFrame, key: str, hot: str) -> DataFrame:
+    """``rows`` joined with ``named`` (one row a key, each key of rows among them), of which column ``hot`` marks frequent keys.
+
+    Rows with a frequent key, however many, stay where they are: of those keys there are few, and their names are broadcast.
+    Only the others are shuffled.
+    """
+    few, rest = named.where(hot).drop(hot), named.where(f"NOT {hot}").drop(hot)
+    near = rows.join(F.broadcast(few), key)
+    far = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key)
+    return near.unionByName(far)
+
+
 def batch_of(**columns) -> pa.RecordBatch:
     """A record batch of numpy arrays, Arrow arrays or lists."""
     arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()]

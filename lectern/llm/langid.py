@@ -8,6 +8,7 @@ whose prototype, less the mean of all prototypes, has the largest cosine with it
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +26,10 @@ UNKNOWN = "und"
 SLICE_BYTES = 1 << 20
 #: Steepness of the softmax that turns cosines into a score.
 SHARPNESS = 25.0
+#: Score from which a text counts as in its best language: likelier than all others together.
+LEAST_SCORE = 0.5
+#: Texts of at least so many characters whose cosine with every prototype is less than that are in no language of the corpus.
+ENOUGH, LEAST_COSINE = 100, 0.15
 
 
 @lru_cache(maxsize=1)
@@ -114,11 +119,10 @@ def contrast(prototypes: np.ndarray) -> np.ndarray:
     return unit
 
 
-def _best(texts: list[str | None], units: np.ndarray, n_langs: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """The best language of each text (n_langs: none) and its score."""
-    vectors, lettered = profiles(texts, dim)
+def _best(vectors: np.ndarray, lettered: np.ndarray, units: np.ndarray, n_langs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best language of each text (n_langs: none) and its score, by the texts' vectors."""
     if not n_langs:
-        return np.zeros(len(texts), int), np.zeros(len(texts))
+        return np.zeros(len(vectors), int), np.zeros(len(vectors))
     cosine = (vectors @ units).astype(np.float64)
     share = np.exp(SHARPNESS * (cosine - cosine.max(axis=1, keepdims=True)))
     return np.where(lettered, cosine.argmax(axis=1), n_langs), np.where(lettered, share.max(axis=1) / share.sum(axis=1), 0.0)
@@ -136,27 +140,39 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFr
     def step(batches):
         names = np.array([*langs, UNKNOWN], dtype=object)
         for batch in common.pieces(batches, "text", SLICE_BYTES):
-            best, score = _best(batch.column("text").to_pylist(), units, len(langs), dim)
+            best, score = _best(*profiles(batch.column("text").to_pylist(), dim), units, len(langs))
             yield common.batch_of(doc_id=batch.column("doc_id"), lang_pred=names[best].tolist(), score=score)
 
     return common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), step, "doc_id long, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, dim: int = DIM) -> DataFrame:
-    """The documents, all columns, whose text has a language: all but those that ``identify`` calls ``und``.
+def accepted(docs: DataFrame, languages: Collection[str] | None = None, least: float = LEAST_SCORE, dim: int = DIM) -> DataFrame:
+    """The documents, all rows and columns, whose text is in one of ``languages`` (None: in any that was learned).
 
-    Where nothing can be learned, for want of labelled rows, texts with a letter stay.
+    Learns as ``identify`` does.  A text goes if it has no letter, if its best language is not among ``languages``, or if
+    that language's score is under ``least``, or if it is long enough to tell and like no prototype at all, as texts in other
+    scripts are.  Where nothing can be learned, for want of labelled rows, texts with a letter stay.
+    Null texts go; repeated rows are judged alike; column names do not matter.
     """
     langs, prototypes = train(docs.where(fold("doc_id") != 0), dim)
     units = contrast(prototypes).astype(np.float32).T
+    norm = np.linalg.norm(prototypes, axis=1, keepdims=True)
+    plain = (prototypes / np.where(norm > 0, norm, 1)).astype(np.float32).T
+    field = common.own_name(docs, "text")
+    asked = np.array([languages is None or name in languages for name in langs] + [False])
 
     def step(batches):
-        for batch in common.pieces(batches, "text", SLICE_BYTES):
-            texts = batch.column("text").to_pylist()
-            stay = _best(texts, units, len(langs), dim)[0] < len(langs) if langs else profiles(texts, dim)[1]
+        for batch in common.pieces(batches, "row", SLICE_BYTES, field):
+            texts = common.child(batch, "row", field).to_pylist()
+            vectors, stay = profiles(texts, dim)
+            if langs:
+                best, score = _best(vectors, stay, units, len(langs))
+                short = np.array([len(t or "") < ENOUGH for t in texts])
+                stay = asked[best] & (score >= least) & (short | ((vectors @ plain).max(axis=1) >= LEAST_COSINE))
             yield batch.filter(pa.array(stay))
 
-    return common.arrow_map(docs, step, docs.schema)
+    rows = docs.select(F.struct("*").alias("row"))
+    return common.arrow_map(rows, step, rows.schema).select("row.*")
 
 
 def fold(doc_id):
@@ -165,6 +181,12 @@ def fold(doc_id):
 
 
 def identify(docs: DataFrame, dim: int = DIM) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score): learns from the rows outside fold 0, predicts all."""
+    """(doc_id, held_out, lang_pred, score): learns from the rows outside fold 0, predicts all.
+
+    A row's fold is the crc32 of its id as text, modulo FOLDS; rows without doc_id are in none, teach nothing and are
+    predicted.  Predictions see the text alone, the whole of it however long; null texts and those without a letter are ``und``
+    with score 0, and so is every text where nothing was learned.  Of languages equally near the first by name wins.
+    Repeated rows each give a row and teach as often; other columns play no part; an empty table gives no rows.
+    """
     langs, prototypes = train(docs.where(fold("doc_id") != 0), dim)
     return predict(docs, langs, prototypes).select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")

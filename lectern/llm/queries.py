@@ -40,7 +40,9 @@ def op6_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = records.new_folder(spark)
     shards = records.write_records(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
-    return records.read_records(shards, folder)
+    out = common.durable(records.read_records(shards, folder))
+    common.remove(spark, folder)
+    return out
 
 
 def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

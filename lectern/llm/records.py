@@ -78,8 +78,9 @@ class Encoder:
     Such a tokenizer first splits a text, and no split part spans a change between letters and punctuation, or
     from other characters to white space, so the ids of a text are those of its parts.  Only parts not met before
     go to the tokenizer, many in one text, whose ids are dealt back by the bytes each token stands for.  Parts met
-    in a second slice are remembered, up to a bound; others are encoded each time.  Texts with unusual white space, and all
-    texts of a tokenizer with a normaliser, go to it whole.
+    in a second slice are remembered, up to a bound; others are encoded each time.  Texts with unusual white space or with the
+    string of a token that the tokenizer has of its own (such strings are that token, as the library has it), and all texts of a
+    tokenizer with a normaliser, go to it whole.
     """
 
     def __init__(self, path: str, end_id: int, remember: int = REMEMBER):
@@ -87,7 +88,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         size = self.tokenizer.get_vocab_size()
         self.width = 2 if max(size, end_id + 1) <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
@@ -128,7 +129,7 @@ class Encoder:
         """The ids of each text, with the end id."""
         known, found, missing = self.known, [], set()
         for text in texts:
-            if not text or not self.splits or _UNUSUAL.search(text):
+            if not text or not self.splits or _UNUSUAL.search(text) or any(t in text for t in self.special):
                 found.append((text or "", None, False))
                 continue
             parts = _PART.findall(text)
@@ -227,7 +228,8 @@ def write_records(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> D
 
     (shard, n_docs, n_tokens, start): one row a file, with the number of ids in all files before.  Shards follow
     the order of doc_id and hold whole documents; equal doc_ids keep an order by text.  Null texts count as
-    empty and leave the end id alone.  Rows without doc_id come first.  An empty table writes no shard.
+    empty and leave the end id alone.  Rows without doc_id come first.  Very long texts are one record each.  Columns other
+    than doc_id and text are not written; an empty table writes no shard.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
@@ -264,7 +266,9 @@ def write_records(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> D
 def read_records(shards: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every record: read back from the files, one task for some shards.
 
-    ids_crc32 is the CRC-32 of the ids as little-endian 32-bit numbers.
+    ids_crc32 is the CRC-32 of the ids as little-endian 32-bit numbers.  shards: as ``write_records`` returned them, in any
+    order; one that is named twice is read twice, and no shards give no rows.  Records without doc_id have a null one; those of
+    null or empty texts hold the end id alone; a record as long as its text was is read whole.  A damaged file is an error.
     """
 
     def step(batches):

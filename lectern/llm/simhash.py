@@ -44,10 +44,13 @@ def _fingerprint(text: bytes, end: np.ndarray, shingle: int) -> int:
     return sum(1 << k for k in np.flatnonzero(2 * count > len(h)).tolist())
 
 
-def _fingerprints(shingle: int):
+def _fingerprints(shingle: int, carried: str, field: str | None = None):
+    """Adds ``fp`` to the carried column; texts stand in column ``text``, or in a field of the carried one."""
+    column = "text" if field is None else carried
+
     def step(batches):
-        for batch in common.pieces(batches, "text"):
-            words = rolling.Words(batch.column("text"))
+        for batch in common.pieces(batches, column, field=field):
+            words = rolling.Words(common.child(batch, column, field))
             words.data = _UPPER[words.data]
             data, at = words.kept(np.ones(len(words.start), bool))
             size = words.end - words.start
@@ -56,7 +59,7 @@ def _fingerprints(shingle: int):
                 own = slice(words.first[k], words.first[k + 1])
                 end = np.cumsum(size[own] + 1) - 1
                 out.append(_fingerprint(data[at[k] : at[k + 1]].tobytes(), end, shingle))
-            yield common.batch_of(doc_id=batch.column("doc_id"), fp=np.array(out, np.uint64).view(np.int64))
+            yield common.batch_of(**{carried: batch.column(carried)}, fp=np.array(out, np.uint64).view(np.int64))
 
     return step
 
@@ -67,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     Fewer words than a shingle: the whole sequence is one; none (null, empty or blank text): zero.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return common.arrow_map(slim, _fingerprints(shingle), "doc_id long, fp long")
+    return common.arrow_map(slim, _fingerprints(shingle, "doc_id"), "doc_id long, fp long")
 
 
 def _syndrome(word: Column) -> Column:
@@ -104,19 +107,43 @@ def close_pairs(reps: DataFrame) -> DataFrame:
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _groups(reps: DataFrame) -> DataFrame:
+    """The fingerprints with ``c``, the smallest (signed) fingerprint that each is linked with."""
+    parts = components(close_pairs(reps))
+    return reps.join(parts, reps["fp"] == parts["node"], "left").withColumn("c", F.coalesce("component", "fp")).drop("node", "component")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id each document is linked with, itself included.
 
-    Documents link if their fingerprints differ in at most two bits; a text without words has the fingerprint
-    zero and links like any other.  Repeated rows are documents like others, and so are rows without doc_id, which
-    link what they are near to; a component without any id is null.
+    Documents link if their fingerprints differ in at most two bits; a text without words (null, empty, blank) has the
+    fingerprint zero and links like any other.  Very long texts are fingerprinted whole.  Repeated rows are documents like
+    others, and so are rows without doc_id, which link what they are near to; a component without any id is null.  Other
+    columns, whatever their names, play no part; an empty table gives no rows.
     """
     prints = common.durable(fingerprints(docs, shingle))
-    reps = common.durable(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    parts = components(close_pairs(reps))
-    named = reps.join(parts, reps["fp"] == parts["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("c"))
-    label = named.join(named.groupBy("c").agg(F.min("rep").alias("component_id")), "c").select("fp", "component_id")
-    return prints.join(label, "fp").select("doc_id", "fp", "component_id")
+    reps = common.durable(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    named = _groups(reps)
+    label = named.join(named.groupBy("c").agg(F.min("rep").alias("component_id")), "c")
+    label = common.durable(label.select("fp", "component_id", common.hot_share(reps, "copies", common.partitions(docs.sparkSession)).alias("hot")))
+    return common.join_by_key(prints, label, "fp", "hot").select("doc_id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs``, all columns, without near-duplicates: of each component the row with the smallest doc_id.
+
+    A row is itself, whatever its id: of repeated rows with the smallest id one stays; a component without any id keeps
+    one row.
+    """
+    rows = docs.select(F.struct("*").alias("row"))
+    schema = rows.withColumn("fp", F.lit(None).cast("long")).schema
+    rows = common.arrow_map(rows, _fingerprints(shingle, "row", common.own_name(docs, "text")), schema)
+    rows = common.durable(rows.withColumn("at", F.monotonically_increasing_id()))
+    doc_id = F.col("row")[common.own_name(docs, "doc_id")].cast("long")
+    first = F.min(F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"), F.col("at").alias("at"))).alias("first")
+    reps = common.durable(rows.groupBy("fp").agg(first))
+    stays = _groups(reps).groupBy("c").agg(F.min("first").alias("first")).select(F.col("first.at").alias("at"))
+    return rows.join(stays, "at", "left_semi").select("row.*")
 
 
 def hexadecimal(fp: Column) -> Column:

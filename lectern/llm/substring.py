@@ -31,9 +31,11 @@ SHINGLE = 8
 STEP = 1 << 22
 CLAIM, WITNESS, KNOWN = 0, 1, 2
 
-_ANCHORS = "k long, a long, doc_id long, begin int, n int, kind tinyint"
-_CLAIMS = "k long, h long, c int, doc_id long, begin int, n int, gap int, kind tinyint"
-_RANGES = "doc_id long, begin int, n int"
+# sub tells rows with one doc_id and different texts apart; it takes no part in the order of documents
+_ANCHORS = "k long, a long, doc_id long, sub long, begin int, n int, kind tinyint"
+_CLAIMS = "k long, h long, c int, doc_id long, sub long, begin int, n int, gap int, kind tinyint"
+_RANGES = "doc_id long, sub long, begin int, n int"
+_RANGE = ("doc_id", "sub", "begin", "n")
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -58,11 +60,17 @@ def _steps(hashes: np.ndarray, first: np.ndarray, width: int) -> Iterator[tuple[
         yield hashes[at:to], bounds - at, at
 
 
+def _identity(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """doc_id and sub of each row; sub may be left out where all are 0."""
+    doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
+    return doc, batch.column("sub").to_numpy(zero_copy_only=False) if "sub" in batch.schema.names else np.zeros(len(doc), np.int64)
+
+
 def _anchors(width: int, shingle: int):
     def step(batches):
         for batch in common.pieces(batches, "text"):
             batch = batch.filter(batch.column("doc_id").is_valid())
-            doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            doc, sub = _identity(batch)
             words = rolling.Words(batch.column("text"))
             for hashes, first, at in _steps(words.hashes(), words.first, width):
                 begin, text = rolling.windows(hashes, first, width)
@@ -73,15 +81,15 @@ def _anchors(width: int, shingle: int):
                 run = _runs(a, text)
                 n = _lengths(run, len(a)).astype(np.int32)
                 a, text, begin = a[run], text[run], (begin[run] + at - words.first[text[run]]).astype(np.int32)
-                yield _settle_anchors(a, doc[text], begin, n)
+                yield _settle_anchors(a, doc[text], sub[text], begin, n)
 
     return step
 
 
-def _settle_anchors(a, doc, begin, n) -> pa.RecordBatch:
+def _settle_anchors(a, doc, sub, begin, n) -> pa.RecordBatch:
     """Claims of anchors that one document of the slice has; those of more are known to repeat, and leave a witness."""
     order = np.lexsort((doc, a))
-    a, doc, begin, n = a[order], doc[order], begin[order], n[order]
+    a, doc, sub, begin, n = a[order], doc[order], sub[order], begin[order], n[order]
     run = _runs(a)
     size = _lengths(run, len(a))
     shared = doc[run] != doc[run + size - 1]
@@ -90,7 +98,7 @@ def _settle_anchors(a, doc, begin, n) -> pa.RecordBatch:
     w = run[shared]
     none = np.zeros(len(w), np.int32)
     return common.batch_of(
-        k=np.concatenate((key, a[w])), a=np.concatenate((a, a[w])), doc_id=np.concatenate((doc, doc[w])),
+        k=np.concatenate((key, a[w])), a=np.concatenate((a, a[w])), doc_id=np.concatenate((doc, doc[w])), sub=np.concatenate((sub, sub[w])),
         begin=np.concatenate((begin, none)), n=np.concatenate((n, none)), kind=np.concatenate((kind, np.full(len(w), WITNESS, np.int8))),
     )
 
@@ -99,8 +107,8 @@ def _numpy(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     return {name: batch.column(k).to_numpy(zero_copy_only=False) for k, name in enumerate(batch.schema.names)}
 
 
-def _ranges(doc, begin, n) -> pa.RecordBatch:
-    return common.batch_of(doc_id=doc.astype(np.int64), begin=begin.astype(np.int32), n=n.astype(np.int32))
+def _ranges(doc, sub, begin, n) -> pa.RecordBatch:
+    return common.batch_of(doc_id=doc.astype(np.int64), sub=sub.astype(np.int64), begin=begin.astype(np.int32), n=n.astype(np.int32))
 
 
 def _repeated_anchors(batches):
@@ -113,7 +121,7 @@ def _repeated_anchors(batches):
         rows = _numpy(batch)
         known = rows["kind"] == KNOWN
         if known.any():
-            yield _ranges(*(rows[c][known] for c in ("doc_id", "begin", "n")))
+            yield _ranges(*(rows[c][known] for c in _RANGE))
             rows = {c: v[~known] for c, v in rows.items()}
         if not len(rows["a"]):
             continue
@@ -134,17 +142,16 @@ def _shared(rows):
     witnessed = np.maximum.reduceat(rows["kind"], run) == WITNESS
     take = np.repeat(witnessed | (rows["doc_id"][run] != rows["doc_id"][run + size - 1]), size) & (rows["kind"] == CLAIM)
     if take.any():
-        yield _ranges(*(rows[c][take] for c in ("doc_id", "begin", "n")))
+        yield _ranges(*(rows[c][take] for c in _RANGE))
 
 
 def _window_claims(width: int):
     def step(batches):
         for batch in common.pieces(batches, "text"):
-            marks = batch.column("marks")
-            batch = batch.filter(marks.is_valid())
+            batch = batch.filter(batch.column("marks").is_valid())
             if not batch.num_rows:
                 continue
-            doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            doc, sub = _identity(batch)
             words = rolling.Words(batch.column("text"))
             begin, text = _positions(batch.column("marks"))
             hashes = words.hashes()
@@ -158,7 +165,7 @@ def _window_claims(width: int):
                 part = hashes[base : at[own[-1]] + width]
                 h[own] = rolling.spans(part, at[own] - base, at[own] - base + width)
                 c[own] = (rolling.spans(rolling.mix(part), at[own] - base, at[own] - base + width) >> np.uint64(33)).astype(np.int32)
-            yield _settle_windows(h.view(np.int64), c, doc[text], begin.astype(np.int32))
+            yield _settle_windows(h.view(np.int64), c, doc[text], sub[text], begin.astype(np.int32))
 
     return step
 
@@ -194,24 +201,24 @@ def _progressions(begin: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.
     return run, n.astype(np.int32), gap
 
 
-def _settle_windows(h, c, doc, begin) -> pa.RecordBatch:
+def _settle_windows(h, c, doc, sub, begin) -> pa.RecordBatch:
     """Of equal windows in a slice, those of the smallest document are claims; the others are known to repeat."""
-    order = np.lexsort((begin, doc, c, h))
-    h, c, doc, begin = h[order], c[order], doc[order], begin[order]
+    order = np.lexsort((begin, sub, doc, c, h) if sub.any() else (begin, doc, c, h))
+    h, c, doc, sub, begin = h[order], c[order], doc[order], sub[order], begin[order]
     run = _runs(h, c)
     known = doc != np.repeat(doc[run], _lengths(run, len(h)))
-    kd, kb = doc[known], begin[known]
-    order = np.lexsort((kb, kd))
-    kd, kb = kd[order], kb[order]
-    run = _runs(kd, kb - np.arange(len(kb)))
+    kd, ks, kb = doc[known], sub[known], begin[known]
+    order = np.lexsort((kb, ks, kd) if ks.any() else (kb, kd))
+    kd, ks, kb = kd[order], ks[order], kb[order]
+    run = _runs(kd, ks, kb - np.arange(len(kb)))
     kn = _lengths(run, len(kd)).astype(np.int32)
-    kd, kb = kd[run], kb[run]
-    h, c, doc, begin = h[~known], c[~known], doc[~known], begin[~known]
-    run, n, gap = _progressions(begin, h, c, doc)
-    h, c, doc, begin = h[run], c[run], doc[run], begin[run]
+    kd, ks, kb = kd[run], ks[run], kb[run]
+    h, c, doc, sub, begin = h[~known], c[~known], doc[~known], sub[~known], begin[~known]
+    run, n, gap = _progressions(begin, h, c, doc, sub)
+    h, c, doc, sub, begin = h[run], c[run], doc[run], sub[run], begin[run]
     return common.batch_of(
         k=np.concatenate((rolling.mix(kd.view(np.uint64)).view(np.int64), h)), h=np.concatenate((np.zeros(len(kd), np.int64), h)),
-        c=np.concatenate((np.zeros(len(kd), np.int32), c)), doc_id=np.concatenate((kd, doc)), begin=np.concatenate((kb, begin)),
+        c=np.concatenate((np.zeros(len(kd), np.int32), c)), doc_id=np.concatenate((kd, doc)), sub=np.concatenate((ks, sub)), begin=np.concatenate((kb, begin)),
         n=np.concatenate((kn, n)), gap=np.concatenate((np.ones(len(kd), np.int32), gap)), kind=np.repeat(np.array([KNOWN, CLAIM], np.int8), [len(kd), len(h)]),
     )
 
@@ -223,7 +230,7 @@ def _repeated_windows(batches):
         rows = _numpy(batch)
         known = rows["kind"] == KNOWN
         if known.any():
-            yield _ranges(*(rows[x][known] for x in ("doc_id", "begin", "n")))  # of gap 1
+            yield _ranges(*(rows[x][known] for x in _RANGE))  # of gap 1
             rows = {x: v[~known] for x, v in rows.items()}
         h, c, doc = rows["h"], rows["c"], rows["doc_id"]
         if not len(h):
@@ -238,7 +245,7 @@ def _repeated_windows(batches):
             n, gap = rows["n"][again].astype(np.int64), rows["gap"][again]
             times = np.where(gap == 1, 1, n)
             place = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-            yield _ranges(np.repeat(doc[again], times), np.repeat(rows["begin"][again], times) + np.repeat(gap, times) * place, np.repeat(np.where(gap == 1, n, 1), times))
+            yield _ranges(np.repeat(doc[again], times), np.repeat(rows["sub"][again], times), np.repeat(rows["begin"][again], times) + np.repeat(gap, times) * place, np.repeat(np.where(gap == 1, n, 1), times))
 
 
 def _merged(batches):
@@ -250,53 +257,64 @@ def _merged(batches):
             continue
         if held is not None:
             rows = {c: np.concatenate((held[c], v)) for c, v in rows.items()}
-        doc, begin, end = rows["doc_id"], rows["begin"], rows["begin"] + rows["n"]
+        doc, sub, begin, end = rows["doc_id"], rows["sub"], rows["begin"], rows["begin"] + rows["n"]
         # a running maximum of the ends inside each document, by lifting every document above the one before
-        lift = np.cumsum(np.concatenate(([0], doc[1:] != doc[:-1]))) << 33
+        lift = np.cumsum(np.concatenate(([0], (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1])))) << 33
         reach = np.maximum.accumulate(end + lift)
         new = np.ones(len(doc), bool)
         new[1:] = (begin + lift)[1:] > reach[:-1]
         run = np.flatnonzero(new)
         to = reach[np.concatenate((run[1:] - 1, [len(doc) - 1]))] - lift[run]
-        doc, begin, n = doc[run], begin[run], to - begin[run]
-        held = {"doc_id": doc[-1:], "begin": begin[-1:], "n": n[-1:]}
+        doc, sub, begin, n = doc[run], sub[run], begin[run], to - begin[run]
+        held = {"doc_id": doc[-1:], "sub": sub[-1:], "begin": begin[-1:], "n": n[-1:]}
         if len(doc) > 1:
-            yield _ranges(doc[:-1], begin[:-1], n[:-1])
+            yield _ranges(doc[:-1], sub[:-1], begin[:-1], n[:-1])
     if held is not None:
-        yield _ranges(held["doc_id"], held["begin"], held["n"])
+        yield _ranges(*(held[c] for c in _RANGE))
 
 
-def _marked(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """documents with ``marks``: their ranges, packed; null where there are none."""
-    marks = ranges.groupBy("doc_id").agg(F.collect_list(F.shiftleft(F.col("begin").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))).alias("marks"))
-    return docs.join(marks, "doc_id", "left")
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """(doc_id, sub, text, others): sub is 0, or a hash of the text where some doc_id stands in several rows."""
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return docs.withColumn("sub", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
 
 
-def repeated_ranges(docs: DataFrame, width: int = WIDTH, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, begin, n): maximal runs of starts of windows that a document with a smaller id also has.
+def _marked(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Rows (doc_id, sub, others) with ``marks``: the ranges of their documents, packed; null where there are none."""
+    marks = ranges.groupBy("doc_id", "sub").agg(F.collect_list(F.shiftleft(F.col("begin").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))).alias("marks"))
+    return docs.join(marks, ["doc_id", "sub"], "left")
 
-    Texts of fewer than ``width`` words and null texts have no window.  Rows without doc_id take no part.
-    """
+
+def _ranges_of(docs: DataFrame, width: int, shingle: int) -> DataFrame:
+    """(doc_id, sub, begin, n) of rows (doc_id, sub, text)."""
     if not 1 <= shingle <= width:
         raise ValueError("the shingle must fit in the window")
-    spark = docs.sparkSession
-    n = common.partitions(spark)
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    anchors = common.arrow_map(docs.select("doc_id", "text"), _anchors(width, shingle), _ANCHORS)
+    n = common.partitions(docs.sparkSession)
+    anchors = common.arrow_map(docs, _anchors(width, shingle), _ANCHORS)
     anchors = anchors.repartition(n, "k").sortWithinPartitions("a", "doc_id")
     ranges = common.arrow_map(anchors, _repeated_anchors, _RANGES)
     claims = common.arrow_map(_marked(docs, ranges), _window_claims(width), _CLAIMS)
     claims = claims.repartition(n, "k").sortWithinPartitions("h", "c", "doc_id")
     again = common.arrow_map(claims, _repeated_windows, _RANGES)
-    return common.arrow_map(again.repartition(n, "doc_id").sortWithinPartitions("doc_id", "begin"), _merged, _RANGES)
+    return common.arrow_map(again.repartition(n, "doc_id", "sub").sortWithinPartitions("doc_id", "sub", "begin"), _merged, _RANGES)
+
 
+def repeated_ranges(docs: DataFrame, width: int = WIDTH, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, begin, n): maximal runs of starts of windows that a document with a smaller id also has.
 
-def _strip(width: int, emit):
+    Texts of fewer than ``width`` words and null texts have no window.  Rows without doc_id take no part.
+    """
+    rows = _told_apart(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")))
+    return _ranges_of(rows.select("doc_id", "sub", "text"), width, shingle).drop("sub")
+
+
+def _strip(width: int, emit, column: str = "text", field: str | None = None):
     """Cuts marked windows from each text; emit(batch, n_words, n_removed, kept text) makes the output."""
 
     def step(batches):
-        for batch in common.pieces(batches, "text"):
-            words = rolling.Words(batch.column("text"))
+        for batch in common.pieces(batches, column, field=field):
+            words = rolling.Words(common.child(batch, column, field))
             marks = batch.column("marks")
             held = np.flatnonzero(marks.is_valid().to_numpy(zero_copy_only=False))
             total = len(words.start)
@@ -323,15 +341,16 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, shingle: int = SHINGLE
     Words are runs of bytes other than space and 0x09-0x0D, unchanged.  A word goes if a window of ``width``
     words over it also starts in a document with a smaller id; windows are judged on the input.  The first
     document keeps its words, also where a window repeats inside it.  Kept words are joined by one space.
-    Null and empty texts give 0 words and the empty text; repeated rows of one doc_id are one document each
-    with the union of the ranges; an empty table gives an empty table.
+    Null and empty texts give 0 words and the empty text; very long texts are judged whole.  Rows of one doc_id are not
+    held against each other, and each loses what its own text shares with smaller ids.  Rows without doc_id lose nothing.
+    Other columns, whatever their names, play no part; an empty table gives an empty table.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = _told_apart(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))).select("doc_id", "sub", "text")
 
     def emit(batch, n_words, n_removed, text):
         return common.batch_of(doc_id=batch.column("doc_id"), n_words=n_words, n_removed=n_removed, kept_text=text)
 
-    marked = _marked(docs, repeated_ranges(docs, width, shingle))
+    marked = _marked(docs, _ranges_of(docs, width, shingle)).select("doc_id", "text", "marks")
     return common.arrow_map(marked, _strip(width, emit), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
@@ -339,18 +358,24 @@ def strip_documents(docs: DataFrame, width: int = WIDTH, shingle: int = SHINGLE)
     """The documents, all rows and columns, with the words of repeated windows cut from ``text``.
 
     A text that loses nothing stays as it is, white space included; others are their kept words joined by one
-    space, and ``n_chars``, where there is such a column, follows.  No column may be called ``marks``.
+    space, and ``n_chars``, where there is such a column, follows.  Otherwise as ``dedup_substrings``.
     """
-    columns = docs.columns
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    text_name = common.own_name(docs, "text")
+    names = [f.name for f in docs.schema.fields]
 
     def emit(batch, n_words, n_removed, text):
-        out = {c: batch.column(c) for c in columns}
-        cut = pa.array(n_removed > 0)
-        out["text"] = pc.if_else(cut, text, batch.column("text"))
-        if "n_chars" in out:
-            out["n_chars"] = pc.if_else(cut, pc.utf8_length(text).cast(out["n_chars"].type), out["n_chars"])
-        return common.batch_of(**out)
-
-    marked = _marked(docs, repeated_ranges(docs, width, shingle)).select(*columns, "marks")
-    return common.arrow_map(marked, _strip(width, emit), docs.schema)
+        rows, cut = batch.column("row"), pa.array(n_removed > 0)
+        out = []
+        for name in names:
+            own = pc.struct_field(rows, name)
+            if name == text_name:
+                own = pc.if_else(cut, text.cast(own.type), own)
+            elif name.lower() == "n_chars":
+                own = pc.if_else(cut, pc.utf8_length(text).cast(own.type), own)
+            out.append(own)
+        return common.batch_of(row=pa.StructArray.from_arrays(out, fields=list(rows.type)))
+
+    rows = _told_apart(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.struct("*").alias("row")))
+    ranges = _ranges_of(rows.select("doc_id", "sub", "text"), width, shingle)
+    marked = _marked(rows.drop("text"), ranges).select("row", "marks")
+    return common.arrow_map(marked, _strip(width, emit, "row", text_name), docs.select(F.struct("*").alias("row")).schema).select("row.*")

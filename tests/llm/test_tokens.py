@@ -29,9 +29,7 @@ def plain():
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 @settings(max_examples=300, deadline=None)
@@ -154,3 +152,70 @@ def test_packing_of_nothing(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long")).collect() == []
     with pytest.raises(ValueError, match="batch"):
         packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long"), context=10, budget=5)
+
+
+def test_strings_of_special_tokens(spark, tokenizer, tmp_path):
+    texts = ["hello <|endoftext|> there", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endoftext|", "<|endoftext |>"]
+    encoder = records.Encoder(JSON, 0)
+    for text, payload in zip(texts, encoder.payloads(texts), strict=True):
+        assert np.frombuffer(payload, encoder.dtype).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+    assert 50256 in np.frombuffer(encoder.payloads(texts)[0], encoder.dtype)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = records.read_records(records.write_records(rows, JSON, str(tmp_path)), str(tmp_path)).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in out} == {k: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for k, t in enumerate(texts)}
+
+
+def test_clashing_columns(spark, documents, tmp_path):
+    from pyspark.sql import functions as F
+
+    few = documents.where("doc_id < 40")
+    wide = few.select("*", *[F.lit("x").alias(c) for c in ("ids", "n_tokens", "shard", "start", "piece", "bucket", "batch", "slot", "size", "at", "mix")])
+    both = [sorted(map(str, bpe.round_trip(d, RANKS, public_tokenizers.PATTERN).collect())) for d in (few, wide)]
+    assert both[0] == both[1]
+    both = [sorted(map(str, records.read_records(records.write_records(d, JSON, f"{tmp_path}/{k}"), f"{tmp_path}/{k}").collect())) for k, d in enumerate((few, wide))]
+    assert both[0] == both[1]
+    lengths = [bpe.count_tokens(few, RANKS, public_tokenizers.PATTERN), bpe.count_tokens(few, RANKS, public_tokenizers.PATTERN).selectExpr("*", "'x' AS piece", "'y' AS bucket", "1 AS at", "2 AS mix", "3 AS size")]
+    both = [sorted(map(str, packing.pack(d).collect())) for d in lengths]
+    assert both[0] == both[1]
+
+
+def packed_plainly(rows, context, ends, budget):
+    """The packing by loops: given the boundaries and the order of pieces in a bucket, which batch and slot each has."""
+    per = {k: max(1, budget // max(1, e)) for k, e in enumerate(ends)}
+    buckets = {k: [] for k in per}
+    for doc, n in rows:
+        n = n or 0
+        for piece in range(max(1, -(-n // context))):
+            size = min(context, n - piece * context)
+            buckets[next(k for k, e in enumerate(ends) if size <= e)].append((doc, piece, size))
+    batches = sum(-(-len(x) // per[k]) for k, x in buckets.items())
+    return {k: sorted(x) for k, x in buckets.items()}, batches, per
+
+
+def test_packing_against_plain_loops(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, int(n)) for k, n in enumerate(rng.integers(0, 400, 700))] + [(700, None), (701, 5000), (702, 128), (702, 128)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens long"), context=128, buckets=5, budget=600).toPandas()
+    counts = np.zeros(129, int)
+    for _, n in rows:
+        n = n or 0
+        for piece in range(max(1, -(-n // 128))):
+            counts[min(128, n - piece * 128)] += 1
+    ends = packing.boundaries(counts, 5)
+    want, batches, per = packed_plainly(rows, 128, ends, 600)
+    assert sorted(out["bucket_len"].unique()) == ends and out["batch"].nunique() == batches
+    for k, pieces in want.items():
+        own = out[out["bucket"] == k]
+        assert sorted(zip(own["doc_id"], own["piece"], own["n_tokens"], strict=True)) == pieces
+        assert (own["bucket_len"] == ends[k]).all()
+        first = own["batch"].min()
+        places = sorted(((own["batch"] - first) * per[k] + own["slot"]).tolist())
+        assert places == list(range(len(pieces)))
+    assert out.sort_values("bucket")["batch"].is_monotonic_increasing or out.groupby("batch")["bucket"].nunique().max() == 1
+
+
+def test_records_of_a_long_text(spark, tokenizer, tmp_path):
+    text = "some words, 12 of them; " * 60_000
+    out = records.read_records(records.write_records(spark.createDataFrame([(1, text), (2, "b")], "doc_id long, text string"), JSON, str(tmp_path)), str(tmp_path)).sort("doc_id").collect()
+    ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+    assert (out[0]["n_tokens"], out[0]["ids_crc32"], out[1]["start"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), len(ids))
