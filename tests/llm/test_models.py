@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm import embedding, html, langid, quality
 
+from . import plain_language
+
 VECTOR = "vec_id long, embedding array<float>, label int"
 
 
@@ -107,13 +109,38 @@ def test_languages_without_examples(documents, no_documents):
     assert {(r["lang_pred"], r["score"]) for r in out} == {("und", 0.0)}
 
 
+def test_languages_against_plain_loops(documents):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in documents.collect()]
+    want = plain_language.judged(rows)
+    for r in langid.identify(documents).collect():
+        held, lang, score, _ = want[r["doc_id"]]
+        assert (r["held_out"], r["lang_pred"]) == (held, lang) and r["score"] == pytest.approx(score, abs=1e-3)
+
+
 def test_accepted_documents(documents):
-    want = sorted(r["doc_id"] for r in documents.collect() if any(c.isalpha() for c in r["text"] or ""))
-    for docs in (documents, documents.withColumn("lang", F.lit(None).cast("string"))):
+    """Texts that say one or two letters over and over are like no language; without labelled rows all with a letter stay."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in documents.collect()]
+    letters = sorted(d for d, t, _ in rows if any(c.isalpha() for c in t or ""))
+    odd = {d for d, t, _ in rows if t and len(t) > 100 and len(set(t.lower())) < 4}
+    some = sorted(plain_language.accepted(rows))
+    assert some == [d for d in letters if d not in odd] and len(odd) == 3
+    for docs, want in ((documents, some), (documents.withColumn("lang", F.lit(None).cast("string")), letters)):
         out = langid.accepted(docs)
         assert sorted(r["doc_id"] for r in out.collect()) == want and out.columns == documents.columns
 
 
+def test_languages_of_awkward_rows(spark, no_documents):
+    """Null, empty and very long texts, repeated rows, and columns named as the operator names its own."""
+    texts = [(1, "the house and the tree in the wood"), (2, "das haus und der baum im wald"), (3, None), (3, None), (4, ""), (6, "the house " * 200_000), (6, "the house " * 200_000), (None, "der baum")]
+    rows = spark.createDataFrame([(d, t, "en" if k in (0, 5, 6) else "de") for k, (d, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    wide = rows.select("*", *[F.lit("x").alias(c) for c in ("row", "score", "held_out", "lang_pred", "vector", "k", "x")])
+    out = [sorted(map(tuple, langid.identify(d).collect()), key=str) for d in (rows, wide)]
+    assert out[0] == out[1] and len(out[0]) == 8
+    assert [r[2] for r in out[0] if r[0] in (3, 4)] == ["und"] * 3
+    kept = langid.accepted(wide)
+    assert kept.columns == wide.columns and langid.accepted(wide.limit(0)).collect() == []
+
+
 def test_profile_of_a_text_ignores_its_neighbours():
     alone, _ = langid.profiles(["the cat"])
     among, lettered = langid.profiles(["über", "the cat", None, "", "12"])

@@ -11,6 +11,7 @@ import __spark_entry__
 import corpus_pipeline
 from lectern.llm import bpe, exact, langid, queries, simhash, substring
 
+from . import plain_language
 from .test_dedup import WORD, removed_by_brute_force, smallest
 
 
@@ -123,7 +124,7 @@ def folder(documents, tmp_path_factory):
 
 
 def test_pipeline(spark, documents, folder):
-    kept = {r["doc_id"] for r in langid.identify(documents).collect() if r["lang_pred"] != "und" and r["score"] >= corpus_pipeline.LEAST_SCORE}
+    kept = plain_language.accepted([(r["doc_id"], r["text"], r["lang"]) for r in documents.collect()])
     docs = [(r["doc_id"], r["text"]) for r in documents.collect() if r["doc_id"] in kept]
     docs = dict(without_repeats(first_of_each_group(first_of_each_text(docs))))
     for d, (_, gone, text) in removed_by_brute_force(docs, 50).items():
