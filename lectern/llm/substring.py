@@ -145,14 +145,14 @@ def _shared(rows):
         yield _ranges(*(rows[c][take] for c in _RANGE))
 
 
-def _window_claims(width: int):
+def _window_claims(width: int, column: str = "text", field: str | None = None):
     def step(batches):
-        for batch in common.pieces(batches, "text"):
+        for batch in common.pieces(batches, column, field=field):
             batch = batch.filter(batch.column("marks").is_valid())
             if not batch.num_rows:
                 continue
             doc, sub = _identity(batch)
-            words = rolling.Words(batch.column("text"))
+            words = rolling.Words(common.child(batch, column, field))
             begin, text = _positions(batch.column("marks"))
             hashes = words.hashes()
             at = begin + words.first[text]
@@ -273,31 +273,35 @@ def _merged(batches):
         yield _ranges(*(held[c] for c in _RANGE))
 
 
-def _told_apart(docs: DataFrame) -> DataFrame:
-    """(doc_id, sub, text, others): sub is 0, or a hash of the text where some doc_id stands in several rows."""
+def _told_apart(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(doc_id, sub, text, others), and the columns that name a row: doc_id, or also sub, a hash of the text, where some doc_id stands in several rows."""
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return docs.withColumn("sub", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
+    return (docs.withColumn("sub", F.xxhash64("text")), ["doc_id", "sub"]) if repeated else (docs.withColumn("sub", F.lit(0).cast("long")), ["doc_id"])
 
 
-def _marked(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+def _marked(docs: DataFrame, ranges: DataFrame, key: list[str]) -> DataFrame:
     """Rows (doc_id, sub, others) with ``marks``: the ranges of their documents, packed; null where there are none."""
-    marks = ranges.groupBy("doc_id", "sub").agg(F.collect_list(F.shiftleft(F.col("begin").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))).alias("marks"))
-    return docs.join(marks, ["doc_id", "sub"], "left")
+    marks = ranges.groupBy(*key).agg(F.collect_list(F.shiftleft(F.col("begin").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))).alias("marks"))
+    return docs.join(marks, key, "left")
+
 
+def _ranges_of(docs: DataFrame, key: list[str], width: int, shingle: int, column: str = "text", field: str | None = None) -> DataFrame:
+    """(doc_id, sub, begin, n) of rows (doc_id, sub, text), or (doc_id, sub, row) with the text in a field.
 
-def _ranges_of(docs: DataFrame, width: int, shingle: int) -> DataFrame:
-    """(doc_id, sub, begin, n) of rows (doc_id, sub, text)."""
+    The rows go whole into the join with the anchors' ranges, as they do into the last one, so that both read one shuffle.
+    """
     if not 1 <= shingle <= width:
         raise ValueError("the shingle must fit in the window")
     n = common.partitions(docs.sparkSession)
-    anchors = common.arrow_map(docs, _anchors(width, shingle), _ANCHORS)
+    text = F.col(column) if field is None else F.col(column)[field]
+    anchors = common.arrow_map(docs.select("doc_id", "sub", text.alias("text")), _anchors(width, shingle), _ANCHORS)
     anchors = anchors.repartition(n, "k").sortWithinPartitions("a", "doc_id")
     ranges = common.arrow_map(anchors, _repeated_anchors, _RANGES)
-    claims = common.arrow_map(_marked(docs, ranges), _window_claims(width), _CLAIMS)
+    claims = common.arrow_map(_marked(docs, ranges, key), _window_claims(width, column, field), _CLAIMS)
     claims = claims.repartition(n, "k").sortWithinPartitions("h", "c", "doc_id")
     again = common.arrow_map(claims, _repeated_windows, _RANGES)
-    return common.arrow_map(again.repartition(n, "doc_id", "sub").sortWithinPartitions("doc_id", "sub", "begin"), _merged, _RANGES)
+    return common.arrow_map(again.repartition(n, *key).sortWithinPartitions("doc_id", "sub", "begin"), _merged, _RANGES)
 
 
 def repeated_ranges(docs: DataFrame, width: int = WIDTH, shingle: int = SHINGLE) -> DataFrame:
@@ -305,8 +309,8 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, shingle: int = SHINGLE)
 
     Texts of fewer than ``width`` words and null texts have no window.  Rows without doc_id take no part.
     """
-    rows = _told_apart(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")))
-    return _ranges_of(rows.select("doc_id", "sub", "text"), width, shingle).drop("sub")
+    rows, key = _told_apart(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")))
+    return _ranges_of(rows, key, width, shingle).drop("sub")
 
 
 def _strip(width: int, emit, column: str = "text", field: str | None = None):
@@ -345,12 +349,12 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, shingle: int = SHINGLE
     held against each other, and each loses what its own text shares with smaller ids.  Rows without doc_id lose nothing.
     Other columns, whatever their names, play no part; an empty table gives an empty table.
     """
-    docs = _told_apart(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))).select("doc_id", "sub", "text")
+    docs, key = _told_apart(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")))
 
     def emit(batch, n_words, n_removed, text):
         return common.batch_of(doc_id=batch.column("doc_id"), n_words=n_words, n_removed=n_removed, kept_text=text)
 
-    marked = _marked(docs, _ranges_of(docs, width, shingle)).select("doc_id", "text", "marks")
+    marked = _marked(docs, _ranges_of(docs, key, width, shingle), key)
     return common.arrow_map(marked, _strip(width, emit), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
@@ -375,7 +379,7 @@ def strip_documents(docs: DataFrame, width: int = WIDTH, shingle: int = SHINGLE)
             out.append(own)
         return common.batch_of(row=pa.StructArray.from_arrays(out, fields=list(rows.type)))
 
-    rows = _told_apart(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.struct("*").alias("row")))
-    ranges = _ranges_of(rows.select("doc_id", "sub", "text"), width, shingle)
-    marked = _marked(rows.drop("text"), ranges).select("row", "marks")
+    rows, key = _told_apart(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.struct("*").alias("row")))
+    rows = rows.select("doc_id", "sub", "row")
+    marked = _marked(rows, _ranges_of(rows, key, width, shingle, "row", text_name), key)
     return common.arrow_map(marked, _strip(width, emit, "row", text_name), docs.select(F.struct("*").alias("row")).schema).select("row.*")
