@@ -46,9 +46,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder: later readers neither recompute it nor lose it."""
-    shared_folder(df.sparkSession)
+#: Rows of a few numbers that one file of a checkpoint holds at least, where their count is known.
+FILE_ROWS = 200_000
+
+
+def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` written once to the shared folder: later readers neither recompute it nor lose it.
+
+    rows: about how many there are, of a few numbers each; few rows then go to few files, however many partitions they come from.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    if rows is not None:
+        files = -(-rows // FILE_ROWS)
+        df = df.coalesce(max(1, files)) if files < partitions(spark) else df
     return df.checkpoint(eager=True)
 
 

@@ -5,6 +5,11 @@ those in menus, headers, footers, sidebars, forms, notices, adverts and reader c
 links, go; long ones dense with stop words stay.  Short blocks, and those of an article whose words say nothing,
 are undecided.  The second pass gives them the label of the nearest decided block, of their article if they are
 in one; in an article without decided blocks they stay.
+
+Where a page marks its articles or its main part, blocks elsewhere go, unless the running text stands there: a page may
+mark up teasers only.  On a page in a language without a stop list, ends of sentences stand for stop words.
+
+A page is read once from its beginning to its end, however its tags are nested or left open.
 """
 
 from __future__ import annotations
@@ -18,9 +23,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Characters below which a block is short, and above which stop words alone decide; densities.
+#: Characters below which a block is short, and above which stop words alone decide (those of scripts with a sign a word count double).
 SHORT, LONG = 70, 200
-STOP_DENSITY, LINK_DENSITY = 0.3, 0.34
+#: Shares: of stop words in running text, of link text in lists of links, of stop words under which a page's language is unknown.
+STOP_DENSITY, LINK_DENSITY, UNKNOWN_DENSITY = 0.3, 0.34, 0.1
+#: Characters for each end of a sentence in running text, at most.
+SENTENCE = 300
+#: An article whose text is less than this share of the largest one's, and holds no running text, is a teaser.
+TEASER = 0.25
 
 #: Frequent function words of some languages.
 STOP_WORDS = frozenset(
@@ -51,221 +61,352 @@ _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscri
 #: Elements that never hold the main text.
 _GONE = frozenset("head nav footer aside form menu dialog button fieldset search".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
+#: Names (class, id) of parts that are not the main text.
 _NAMES = frozenset(
-    "ad ads adsbygoogle advert adverts advertisement advertising advertorial adbox adslot banner sponsor sponsored promo promotion sidebar menu nav navbar "
+    "ad ads adsbygoogle advert adverts advertisement advertising advertorial adbox adslot sponsored promo promotion promoted sidebar menu nav navbar "
     "navigation breadcrumb breadcrumbs comment comments commentlist disqus footer masthead cookie cookies consent gdpr notice notices "
-    "alert popup modal overlay newsletter subscribe signup social share sharing related recommended recommendations widget pagination pager "
-    "toolbar login signin paywall promoted replies respond survey disclaimer copyright".split()
+    "popup modal newsletter subscribe signup sharing pagination pager toolbar login signin paywall replies respond".split()
 )
+#: Names that articles also use for parts of their own: there a long block of running text stays.
+_DOUBTFUL = frozenset("banner sponsor alert overlay social share related recommended recommendations widget survey disclaimer copyright".split())
 #: Names of parts of the page that an article may use for its own.
 _PAGE_NAMES = frozenset("header topbar sidenav aside".split())
+#: Words that only say where or in what form a part stands: "comment-list" is a name like "comment", "share-price" is none.
+_FORM_WORDS = frozenset(
+    "area bar block blocks body bottom box btn button buttons card cards center col column container content desktop feed fixed footer form global group header "
+    "head icon icons image inner item items label layout left link links list main message mobile outer page panel policy post posts primary region right "
+    "row secondary section site slot small sticky strip text thread title top unit wide wrap wrapper zone".split()
+)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Characters of scripts that write about a word a sign, and ends of sentences.
+_WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]")
+_END = re.compile("[.!?…](?=\\s|$)|[。！？؟।]")
+_CAMEL = re.compile(r"([a-z])([A-Z])")
+_PIECE = re.compile(r"[a-z]+")
 
 GOOD, BAD, OPEN = 1, -1, 0
+#: Whether an element is part of the text, not, or not unless it holds running text inside an article.
+STAYS, GOES, DOUBTFUL = 0, 1, 2
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw.strip() else {}
 
 
-def _names(attributes: dict[str, str]) -> set[str]:
-    text = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attributes.get('class', '')} {attributes.get('id', '')}")
-    return set(re.split(r"[^a-z]+", text.lower()))
+def _named(attributes: dict[str, str], names: frozenset[str]) -> bool:
+    """Whether a class or the id is one of the names, alone or with words of form."""
+    for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        pieces = _PIECE.findall(_CAMEL.sub(r"\1 \2", token).lower())
+        if not names.isdisjoint(pieces) and all(p in names or p in _FORM_WORDS or p in _NAMES or p in _DOUBTFUL or len(p) == 1 for p in pieces):
+            return True
+    return False
 
 
-def _excluded(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
-    """Whether an element, by its tag and attributes, cannot hold main text."""
+def _excluded(tag: str, attributes: dict[str, str], in_article: bool) -> int:
+    """What an element's tag and attributes say about its content."""
     if tag in ("html", "body", "main"):
-        return False
+        return STAYS
     if tag in _GONE or (tag == "header" and not in_article):
-        return True
+        return GOES
     if not attributes:
-        return False
+        return STAYS
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
-        return True
+        return GOES
     if attributes.get("role", "").lower() in _ROLES:
-        return True
-    names = _names(attributes)
+        return GOES
+    if "class" not in attributes and "id" not in attributes:
+        return STAYS
     if tag == "article" and not in_article:
-        return bool(names & {"comment", "comments", "ad", "advert", "promo"})
-    return bool(names & _NAMES) or (not in_article and bool(names & _PAGE_NAMES))
+        return GOES if _named(attributes, frozenset(("comment", "comments", "ad", "advert", "promo"))) else STAYS
+    if _named(attributes, _NAMES) or (not in_article and _named(attributes, _PAGE_NAMES)):
+        return GOES
+    if _named(attributes, _DOUBTFUL):
+        return DOUBTFUL if in_article else GOES
+    return STAYS
 
 
 class _Block:
-    __slots__ = ("full", "heading", "in_header", "label", "links", "parts", "region", "text")
+    """A block's text, how much of it is links, and the region it stands in."""
+
+    __slots__ = ("dense", "full", "heading", "in_header", "label", "links", "parts", "region", "size", "text")
 
     def __init__(self, region: int, heading: bool, in_header: bool):
         self.region, self.heading, self.in_header = region, heading, in_header
         self.parts: list[str] = []
-        self.links, self.label, self.text, self.full = 0, OPEN, "", False
+        self.links = self.size = 0
+        self.label, self.text, self.full, self.dense = OPEN, "", False, False
 
 
-def blocks(html: str) -> list[_Block]:
-    """The page's blocks with their text, links and region: 0 outside, positive in an article, negative where excluded."""
-    out: list[_Block] = []
-    stack: list[tuple[str, int, bool]] = []  # open elements with the region around them, and whether in an article's header
-    region, regions, in_header, link, heading, breaks = 0, 0, False, 0, False, 0
-    now = _Block(0, False, False)
+class _Reader:
+    """Cuts one page into blocks.
+
+    Regions: 0 is the page, positive numbers are articles and main parts, negative ones excluded elements.  ``kind``
+    has the tag of each positive region, ``inside`` the region around each; ``doubtful`` of excluded elements that may
+    hold running text the article around them.
+    """
 
-    def flush() -> None:
-        nonlocal now
-        text = " ".join(unescape("".join(now.parts)).split())
+    def __init__(self):
+        self.out: list[_Block] = []
+        self.kind: dict[int, str] = {}
+        self.inside: dict[int, int] = {}
+        self.doubtful: dict[int, int] = {}
+        self.stack: list[tuple[str, int, bool]] = []  # open elements, the region around each, and whether in an article's header
+        self.places: dict[str, list[int]] = {}  # of each tag, where it stands on the stack
+        self.blocks_open: list[int] = []  # where block elements stand on the stack
+        self.region, self.regions, self.in_header, self.heading, self.link = 0, 0, False, False, 0
+        self.now = _Block(0, False, False)
+
+    def flush(self) -> None:
+        text = " ".join("".join(self.now.parts).split())
         if text:
-            now.text = text
-            out.append(now)
-        now = _Block(region, heading, in_header)
+            self.now.text = text
+            self.out.append(self.now)
+        self.now = _Block(self.region, self.heading, self.in_header)
+
+    def place(self) -> None:
+        """An empty block stands where the reader is."""
+        if not self.now.full:
+            self.now.region, self.now.heading, self.now.in_header = self.region, self.heading, self.in_header
+
+    def open(self, tag: str) -> None:
+        k = len(self.stack)
+        self.stack.append((tag, self.region, self.in_header))
+        self.places.setdefault(tag, []).append(k)
+        if tag in _BLOCKS:
+            self.blocks_open.append(k)
 
-    def close(k: int) -> None:
+    def close(self, k: int) -> None:
         """Leaves the elements from the k-th on."""
-        nonlocal region, in_header, link, heading
-        for tag, _, _ in stack[k:]:
+        while len(self.stack) > k:
+            tag, self.region, self.in_header = self.stack.pop()
+            self.places[tag].pop()
+            if self.blocks_open and self.blocks_open[-1] == len(self.stack):
+                self.blocks_open.pop()
             if tag == "a":
-                link -= 1
+                self.link -= 1
             elif tag[0] == "h" and tag[1:].isdigit():
-                heading = False
-        region, in_header = stack[k][1:]
-        del stack[k:]
-
-    at, n = 0, len(html)
-    while at < n:
-        m = _TOKEN.search(html, at)
-        text = html[at : m.start() if m else n]
-        if text and not region < 0 <= now.region:  # an excluded element inside a line
-            now.parts.append(text)
-            if not text.isspace():
-                breaks = 0
-                now.full = True
-                if link:
-                    now.links += len(" ".join(unescape(text).split()))
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-            if tag in _BLOCKS:
-                flush()
-            if k >= 0 and not (tag not in _BLOCKS and any(t in _BLOCKS for t, _, _ in stack[k + 1 :])):
-                close(k)
-                now.region, now.heading, now.in_header = (region, heading, in_header) if not now.full else (now.region, now.heading, now.in_header)
-            continue
-        if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at) if not m[0].endswith("/>") else None
-            if end:
-                at = end.end()
-            elif tag in ("script", "style", "textarea"):
-                at = n
-            now.parts.append(" ")
-            continue
-        if tag == "br":
-            breaks += 1
-            now.parts.append(" ")
-            if breaks == 2:
-                flush()
-            continue
-        if tag in _VOID:
-            if tag == "hr":
-                flush()
-            continue
+                self.heading = False
+
+    def words(self, text: str) -> bool:
+        """Takes text between tags; says whether it is more than white space."""
+        if self.region < 0 <= self.now.region:  # an excluded element inside a line
+            return False
+        text = unescape(text) if "&" in text else text
+        self.now.parts.append(text)
+        if text.isspace():
+            return False
+        self.now.full = True
+        if self.link:
+            self.now.links += len(" ".join(text.split()))
+        return True
+
+    def end(self, tag: str) -> None:
         if tag in _BLOCKS:
-            if stack and (tag in ("li", "dt", "dd", "tr", "td", "th") or stack[-1][0] != tag):
-                k = len(stack) - 1
-                while k >= 0 and stack[k][0] not in _BLOCKS:
-                    k -= 1
-                if k >= 0 and (stack[k][0] == "p" or stack[k][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                    flush()
-                    close(k)
-            elif stack and tag == "p":
-                flush()
-                close(len(stack) - 1)
-            flush()
-        stack.append((tag, region, in_header))
-        attributes = _attributes(m[3])
-        if region >= 0 and _excluded(tag, attributes, region > 0):
-            regions += 1
-            region = -regions
-        elif region == 0 and (tag in ("article", "main") or attributes.get("role") in ("main", "article") or attributes.get("itemprop") == "articleBody"):
-            regions += 1
-            region = regions
-        elif tag == "header" and region > 0:
-            in_header = True
+            self.flush()
+        at = self.places.get(tag)
+        if at and not (tag not in _BLOCKS and self.blocks_open and self.blocks_open[-1] > at[-1]):
+            self.close(at[-1])
+            self.place()
+
+    def imply(self, tag: str) -> None:
+        """Ends what cannot hold a block of this kind: an open paragraph, or the list item or cell before it."""
+        if self.blocks_open:
+            k = self.blocks_open[-1]
+            last = self.stack[k][0]
+            if (last == "p" and (tag in _ITEMS or self.stack[-1][0] != tag or tag == "p")) or (last == tag and tag in _ITEMS):
+                self.flush()
+                self.close(k)
+
+    def begin(self, tag: str, attributes: dict[str, str]) -> None:
+        if tag in _BLOCKS:
+            self.imply(tag)
+            self.flush()
+        self.open(tag)
+        around = self.doubtful.get(self.region, self.region)  # inside what is doubtful parts may yet go for sure
+        verdict = _excluded(tag, attributes, around > 0) if around >= 0 else STAYS
+        if verdict == GOES or (verdict == DOUBTFUL and self.region >= 0):
+            self.regions += 1
+            if verdict == DOUBTFUL:
+                self.doubtful[-self.regions] = self.region
+            self.region = -self.regions
+        elif self.region >= 0 and self.kind.get(self.region) != "article":
+            kind = "article" if tag == "article" or attributes.get("role") == "article" or attributes.get("itemprop") == "articleBody" else "main" if tag == "main" or attributes.get("role") == "main" else None
+            if kind == "article" or (kind == "main" and self.region == 0):
+                self.regions += 1
+                self.kind[self.regions], self.inside[self.regions] = kind, self.region
+                self.region = self.regions
+            elif tag == "header" and self.region > 0:
+                self.in_header = True
+        elif tag == "header" and self.region > 0:
+            self.in_header = True
         if tag == "a":
-            link += 1
+            self.link += 1
         elif len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
-            heading = True
-        if tag in _BLOCKS and not now.full:
-            now.region, now.heading, now.in_header = region, heading, in_header
-    flush()
-    return out
+            self.heading = True
+        if tag in _BLOCKS:
+            self.place()
+
+    def read(self, html: str) -> None:
+        at, n, breaks = 0, len(html), 0
+        unending: set[str] = set()  # raw elements that nothing ends from here on
+        while at < n:
+            m = _TOKEN.search(html, at)
+            if self.words(html[at : m.start() if m else n]):
+                breaks = 0
+            if not m:
+                break
+            at = m.end()
+            if not m[2]:
+                continue
+            tag = m[2].lower()
+            if m[1]:
+                self.end(tag)
+            elif tag in _RAW:
+                end = None
+                if tag not in unending and not m[0].endswith("/>"):
+                    end = _RAW_END[tag].search(html, at)
+                    if not end:
+                        unending.add(tag)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style", "textarea"):
+                    at = n
+                self.now.parts.append(" ")
+            elif tag == "br":
+                breaks += 1
+                self.now.parts.append(" ")
+                if breaks == 2:
+                    self.flush()
+            elif tag in _VOID:
+                if tag == "hr":
+                    self.flush()
+            else:
+                self.begin(tag, _attributes(m[3]))
+        self.flush()
+
+
+_ITEMS = frozenset("li dt dd tr td th option".split())
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
+
+
+def _measure(page: list[_Block]) -> None:
+    """Sizes of blocks, and whether they are running text: dense with stop words, or with sentences where no stop list fits the page."""
+    counts = []
+    for b in page:
+        words = _WORD.findall(b.text.lower())
+        counts.append((sum(w in STOP_WORDS for w in words), len(words)))
+        b.size = len(b.text) + (0 if b.text.isascii() else len(_WIDE.findall(b.text)))
+    long = [c for b, c in zip(page, counts, strict=True) if b.size >= SHORT and b.links <= LINK_DENSITY * len(b.text)]
+    known = sum(s for s, _ in long) >= UNKNOWN_DENSITY * sum(n for _, n in long)
+    for b, (stops, n) in zip(page, counts, strict=True):
+        b.dense = stops >= STOP_DENSITY * n > 0 if known else len(_END.findall(b.text)) * SENTENCE >= b.size > 0
 
 
-def _first_label(block: _Block, articles: bool) -> int:
+def _first_label(b: _Block, in_article: bool) -> int:
     """What a block's place and words decide."""
-    if block.region < 0 or (block.in_header and not block.heading):
-        return BAD
-    length = len(block.text)
-    if block.links > LINK_DENSITY * length:
+    if b.in_header and not b.heading:
         return BAD
-    words = _WORD.findall(block.text.lower())
-    density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-    if block.region > 0:
-        return GOOD if length >= SHORT and density >= STOP_DENSITY else OPEN
-    if articles:
+    if b.links > LINK_DENSITY * len(b.text):
         return BAD
-    if "©" in block.text:
+    if in_article:
+        return GOOD if b.size >= SHORT and b.dense else OPEN
+    if "©" in b.text:
         return BAD
-    if length < SHORT:
-        return BAD if block.links else OPEN
-    if density >= STOP_DENSITY:
-        return GOOD if length >= LONG else OPEN
-    return BAD if length >= LONG or not density else OPEN
+    if b.size < SHORT:
+        return BAD if b.links else OPEN
+    if b.dense:
+        return GOOD if b.size >= LONG else OPEN
+    return BAD if b.size >= LONG or not any(c.isalpha() for c in b.text) else OPEN
 
 
-def classify(page: list[_Block]) -> list[_Block]:
-    """The blocks with their labels: first what decides itself, then the rest by the nearest decided block."""
-    articles = any(b.region > 0 for b in page)
+def _containers(page: list[_Block], reader: _Reader) -> dict[int, int]:
+    """Of each region whose blocks may stay, the region they are judged in.
+
+    Articles are the text if they hold at least as much as the running text outside them; else the main part with all in
+    it is, by the same measure; else the page.
+    """
+    kind, inside = reader.kind, reader.inside
+    held: dict[int, int] = dict.fromkeys(kind, 0)  # characters of each region's own blocks
+    running: dict[int, int] = {}  # of long running text
     for b in page:
-        b.label = _first_label(b, articles)
-    first = [b.label for b in page]
-    for key in {b.region for b in page if b.region >= 0}:
-        own = [k for k, b in enumerate(page) if b.region == key]
-        among = own if key > 0 else range(len(page))
-        decided = [k for k in among if first[k] != OPEN and not page[k].in_header]
-        at = 0
-        for k in own:
-            if first[k] != OPEN:
-                continue
-            while at < len(decided) and decided[at] < k:
-                at += 1
-            before, after = decided[at - 1] if at else None, decided[at] if at < len(decided) else None
-            if before is None and after is None:
-                page[k].label = GOOD if key > 0 else BAD
-            elif before is None or (after is not None and after - k < k - before):
-                page[k].label = first[after]
-            elif after is None or k - before < after - k:
-                page[k].label = first[before]
-            else:
-                page[k].label = max(first[before], first[after])
+        if b.region >= 0 and b.links <= LINK_DENSITY * len(b.text):
+            held[b.region] = held.get(b.region, 0) + b.size
+            if b.size >= LONG and b.dense:
+                running[b.region] = running.get(b.region, 0) + b.size
+    articles = [r for r in kind if kind[r] == "article"]
+    mains = [r for r in kind if kind[r] == "main"]
+    if articles and sum(held[r] for r in articles) >= sum(v for r, v in running.items() if r not in kind or kind[r] == "main"):
+        most = max(held[r] for r in articles)
+        return {r: r for r in articles if r in running or held[r] >= TEASER * most}
+    if mains and sum(held[r] for r in mains) + sum(held[r] for r in articles if inside[r]) >= running.get(0, 0):
+        return {r: r for r in mains} | {r: inside[r] for r in articles if inside[r]}
+    return dict.fromkeys((0, *kind), 0)
+
+
+def _second_labels(blocks: list[_Block], decided: list[tuple[int, int]], places: list[int], otherwise: int) -> None:
+    """Gives undecided blocks (at ``places``) the label of the nearest decided one; of two as near the better one."""
+    at = 0
+    for b, k in zip(blocks, places, strict=True):
+        if b.label != OPEN:
+            continue
+        while at < len(decided) and decided[at][0] < k:
+            at += 1
+        before, after = decided[at - 1] if at else None, decided[at] if at < len(decided) else None
+        if before is None or after is None:
+            one = before or after
+            b.label = one[1] if one else otherwise
+        elif k - before[0] == after[0] - k:
+            b.label = max(before[1], after[1])
+        else:
+            b.label = (before if k - before[0] < after[0] - k else after)[1]
+
+
+def classify(reader: _Reader) -> list[_Block]:
+    """The blocks with their labels: first what decides itself, then the rest by the nearest decided block."""
+    page = reader.out
+    _measure(page)
+    judged = _containers(page, reader)
+    own: dict[int, list[int]] = {}
+    for k, b in enumerate(page):
+        region = b.region
+        if region < 0:
+            region = reader.doubtful.get(region, -1)
+            if not (region > 0 and b.size >= LONG and b.dense):
+                region = -1
+        where = judged.get(region, -1)
+        if where < 0:
+            b.label = BAD
+        else:
+            b.label = _first_label(b, where > 0)
+            own.setdefault(where, []).append(k)
+    everything = [(k, b.label) for k, b in enumerate(page) if b.label != OPEN and not b.in_header]
+    for where, places in own.items():
+        blocks = [page[k] for k in places]
+        decided = everything if where == 0 else [(k, b.label) for k, b in zip(places, blocks, strict=True) if b.label != OPEN and not b.in_header]
+        _second_labels(blocks, decided, places, GOOD if where > 0 else BAD)
     return page
 
 
 def main_text(html: str | None) -> str:
     """The blocks of the main text in page order, joined by a blank line; empty if there are none."""
-    return "\n\n".join(b.text for b in classify(blocks(html)) if b.label == GOOD) if html else ""
+    if not html:
+        return ""
+    reader = _Reader()
+    reader.read(html)
+    return "\n\n".join(b.text for b in classify(reader) if b.label == GOOD)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of every page.
 
     Null and empty pages, and pages without main text, give the empty text with 0 characters.  Nothing of a long
-    page is cut.  Repeated rows each give a row.
+    page is cut, and its time grows with its length only.  Of two neighbours as near as each other, one that stays decides.
+    Repeated rows, and rows without page_id, each give a row; other columns play no part; an empty table gives no rows.
     """
 
     def step(batches):

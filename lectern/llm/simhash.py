@@ -109,7 +109,7 @@ def close_pairs(reps: DataFrame) -> DataFrame:
 
 def _groups(reps: DataFrame) -> DataFrame:
     """The fingerprints with ``c``, the smallest (signed) fingerprint that each is linked with."""
-    parts = components(close_pairs(reps))
+    parts = components(close_pairs(reps), reps.count())
     return reps.join(parts, reps["fp"] == parts["node"], "left").withColumn("c", F.coalesce("component", "fp")).drop("node", "component")
 
 
@@ -122,10 +122,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     columns, whatever their names, play no part; an empty table gives no rows.
     """
     prints = common.durable(fingerprints(docs, shingle))
-    reps = common.durable(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    reps = common.durable(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), prints.count())
     named = _groups(reps)
     label = named.join(named.groupBy("c").agg(F.min("rep").alias("component_id")), "c")
-    label = common.durable(label.select("fp", "component_id", common.hot_share(reps, "copies", common.partitions(docs.sparkSession)).alias("hot")))
+    label = label.select("fp", "component_id", common.hot_share(reps, "copies", common.partitions(docs.sparkSession)).alias("hot"))
+    label = common.durable(label, reps.count())
     return common.join_by_key(prints, label, "fp", "hot").select("doc_id", "fp", "component_id")
 
 
@@ -141,7 +142,7 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     rows = common.durable(rows.withColumn("at", F.monotonically_increasing_id()))
     doc_id = F.col("row")[common.own_name(docs, "doc_id")].cast("long")
     first = F.min(F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"), F.col("at").alias("at"))).alias("first")
-    reps = common.durable(rows.groupBy("fp").agg(first))
+    reps = common.durable(rows.groupBy("fp").agg(first), rows.count())
     stays = _groups(reps).groupBy("c").agg(F.min("first").alias("first")).select(F.col("first.at").alias("at"))
     return rows.join(stays, "at", "left_semi").select("row.*")
 
