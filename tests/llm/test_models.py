@@ -226,3 +226,41 @@ def test_extract(spark):
     out = sorted(html.extract(pages).collect(), key=lambda r: (r["page_id"], r["n_chars"]))
     assert [r["n_chars"] for r in out] == [0, 0, len(ARTICLE.strip())]
     assert html.extract(pages.limit(0)).collect() == []
+
+
+def pairs_at(rng, n, dim, cosine):
+    a, b = rng.standard_normal((2, n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    return a, cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("dim", [1, 2, 7, 64, 300])
+def test_estimates_are_unbiased_and_bounded(dim):
+    rng = np.random.default_rng(dim)
+    x = np.concatenate(pairs_at(rng, 300, dim, 0.9301)) if dim > 1 else rng.choice([-1.0, 1.0], (600, 1))
+    keys = embedding._keys(x, 4, 3)
+    codes = embedding.Codes(embedding.encode(x, keys), dim, 3)
+    every = np.arange(600)
+    error = codes.estimate(every, every) - x @ x.T
+    assert abs(error.mean()) < 2e-3
+    assert (np.abs(error) <= codes.slack[:, None] + codes.length[:, None] * codes.rest + 1e-3).mean() > 0.9999
+    open_pairs = {p for i, j in codes.open(every, every, 0, 0.93) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    links = {tuple(p) for p in np.argwhere(np.triu(x @ x.T >= 0.93, 1)).tolist()}
+    assert links <= open_pairs
+    later = {p for i, j in codes.open(every, every, 3, 0.93) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    assert later == {(i, j) for i, j in open_pairs if (keys[i] != keys[j]).all()}
+
+
+def test_recall_just_above_the_threshold(spark):
+    a, b = pairs_at(np.random.default_rng(9), 1500, 64, 0.9301)
+    rows = [(2 * k + s, v[k].tolist(), 0) for k in range(1500) for s, v in enumerate((a, b))]
+    out = embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert out.where("n_links > 0").count() >= 0.997 * 3000
+
+
+def test_vectors_with_one_id_are_told_apart(spark):
+    rows = [(5, [1.0, 0.0, 0.0], 0), (5, [0.0, 1.0, 0.0], 0), (7, [0.0, 2.0, 0.1], 0), (9, [5.0, 0.1, 0.0], 0), (9, [1.0, 0.0, 0.0], 1), (11, [0.0, 0.0, 1.0], 0)]
+    wide = spark.createDataFrame(rows, VECTOR).select("*", *[F.lit("x").alias(c) for c in ("at", "digest", "code", "hot", "c", "u", "component_id", "keys", "dim")])
+    out = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding.near_duplicates(wide).collect())
+    assert out == [(5, 1, 5), (5, 1, 5), (7, 1, 5), (9, 0, 9), (9, 1, 5), (11, 0, 11)]
