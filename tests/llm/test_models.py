@@ -1,12 +1,15 @@
 """Vectors, language identification, quality, and page text."""
 
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import embedding, html, langid, quality
+from lectern.llm import embedding, html, langid, quality, rolling
 
 from . import plain_language
 
@@ -178,17 +181,117 @@ def test_quality_without_enough_labels(rated, no_documents):
     assert all(r["keep"] for r in one)
 
 
-def test_views_learn_from_each_other():
+@pytest.fixture(scope="module")
+def noisy(spark):
+    """Texts and sources that each tell the label of a row fairly well, by themselves; 120 of 3000 rows have labels."""
     rng = np.random.default_rng(4)
-    y = np.repeat([0, 1], 1000)
-    text, meta = ((y[:, None] + rng.standard_normal((2000, 3))).astype(np.float32) for _ in range(2))
-    order = rng.permutation(2000)
-    y, text, meta = y[order], text[order], meta[order]
-    known = np.where(np.arange(2000) < 60, y, -1)
-    model = quality.co_train(text, meta, known)
-    by_text, by_meta, both = model.score(text, meta)
-    accuracy = [((p >= 0.5) == y).mean() for p in (by_text, by_meta, both)]
-    assert accuracy[2] > max(accuracy[:2]) > 0.75
+    docs = []
+    for k in range(3000):
+        good = int(rng.integers(2))
+        words = [f"{'gb'[int(rng.random() < (0.35 if good else 0.65))]}{rng.integers(150)}" for _ in range(12)]
+        source = f"{'gb'[int(rng.random() < (0.2 if good else 0.8))]}{rng.integers(12)}"
+        docs.append((k, " ".join(words), "en", source, 40, good))
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, y int")
+    return rows.repartition(4).cache(), {d[0]: d[5] for d in docs}
+
+
+def test_views_learn_from_each_other(noisy):
+    rows, truth = noisy
+    labels = rows.where("doc_id % 25 = 0").selectExpr("doc_id", "y AS quality")
+    right = {}
+    for rounds in (0, 2):
+        out = quality.classify(rows, labels, rounds=rounds).toPandas()
+        right[rounds] = [((out[c] >= 0.5).astype(int) == out["doc_id"].map(truth)).mean() for c in ("text_score", "meta_score", "score")]
+    assert right[2][2] > max(right[2][:2]) > 0.75
+    assert right[2][0] > right[0][0] + 0.02 and right[2][2] > right[0][2]
+
+
+def plain_score(row, model):
+    """One row's scores by loops over its words, trigrams and metadata."""
+    def mixed(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = (x ^ x >> shift) * factor % 2**64
+        return x
+
+    def word_bucket(word):
+        return (mixed(sum(int(rolling._CODE[b]) * pow(int(rolling._BASE), k, 2**64) for k, b in enumerate(word)) % 2**64) >> 51) % quality.WORDS
+
+    def gram_bucket(a, b, c):
+        return ((a * 0x9E3779B1 % 2**32 ^ b * 0x85EBCA77 % 2**32 ^ c * 0xC2B2AE3D % 2**32) >> 19) % quality.GRAMS
+
+    def mean(table, buckets):
+        return sum(float(table[b]) for b in buckets) / max(len(buckets), 1)
+
+    def logit(view, means, dense):
+        if view.weights is None:
+            return view.shift
+        return view.slope * (sum(w * x for w, x in zip(view.weights, [*means, *dense, 1.0], strict=True))) + view.shift
+
+    data = (row["text"] or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    cls = [int(quality._CLASS[b]) for b in data]
+    pairs = Counter(zip(cls, cls[1:], strict=False))
+    dense = [math.sqrt(pairs[a, b] / max(len(data) - 1, 1)) for a in range(16) for b in range(16)]
+    n, first, last = len(words), [int(quality._CLASS[w[0]]) for w in words], [int(quality._CLASS[w[-1]]) for w in words]
+    dense += [
+        sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(n, 1), math.log1p(len(set(words))) / math.log1p(max(n, 1)), math.log1p(n) / 10,
+        sum(map(len, words)) / max(n, 1) / 10, sum(len(w) == 1 for w in words) / max(n, 1), sum(c == 1 for c in first) / max(n, 1), sum(c >= 6 for c in last) / max(n, 1),
+    ]
+    tables = model.text.tables or [np.zeros(1)] * 2
+    text = logit(model.text, [mean(tables[0], [word_bucket(w) for w in words]), mean(tables[1], [gram_bucket(*g) for g in zip(data, data[1:], data[2:], strict=False)])], dense)
+    size = None if row["n_chars"] is None else math.log1p(max(row["n_chars"], 0))
+    kinds = [row["source"], row["lang"], (row["source"], row["lang"]), None if size is None else int(2 * size)]
+    tables = model.meta.tables or [np.zeros(quality.META)] * 4
+    meta = logit(model.meta, [float(t[zlib.crc32(repr(k).encode()) % quality.META]) for t, k in zip(tables, kinds, strict=True)], [(size or 0) / 10, ((size or 0) / 10) ** 2, float(size is None)])
+    return [1 / (1 + math.exp(-min(max(v, -30), 30))) for v in (text, meta, text + meta - model.prior)]
+
+
+def test_scores_against_plain_loops(rated):
+    docs, labels = rated
+    model = quality.fit(docs, labels)
+    got = {r["doc_id"]: r for r in quality.score(docs, model).collect()}
+    for row in docs.collect():
+        want = plain_score(row, model)
+        out = got[row["doc_id"]]
+        assert [out["text_score"], out["meta_score"], out["score"]] == pytest.approx(want, abs=1e-4)
+        assert out["keep"] == (out["score"] >= 0.5)
+
+
+def test_counts_against_plain_loops(spark, rated):
+    """What naive Bayes learns: each row gives each kind of feature the weight 1 in all, whatever its length and the batches."""
+    docs, labels = rated
+    chosen = dict(quality.sample_labels(labels, 100))
+    assert len(chosen) == 100 and quality.sample_labels(labels, 100) == quality.sample_labels(labels.repartition(7), 100)
+    some = docs.where(F.col("doc_id").isin(list(chosen)))
+    ids = {d: y for d, y in chosen.items()}
+
+    def emit(batch):
+        y = np.array([ids[d] for d in batch.column("doc_id").to_pylist()])
+        return quality._joined(batch, (y, y), quality._views(batch))
+
+    sums = quality._sums(quality._columns(some), emit)
+    for v in (0, 1):
+        for y in (0, 1):
+            rows = sum(k == y for k in chosen.values())
+            at = 0
+            for size in quality.KINDS[v]:
+                assert sums[v, y][at : at + size].sum() == pytest.approx(rows)
+                at += size
+    source = Counter((ids[r["doc_id"]], r["source"]) for r in some.collect())
+    for (y, name), n in source.items():
+        assert sums[1, y][zlib.crc32(repr(name).encode()) % quality.META] == pytest.approx(n)
+
+
+def test_quality_of_awkward_rows(rated):
+    """Clashing columns, a very long text, repeated rows, and labels of no document."""
+    docs, labels = rated
+    long = docs.sparkSession.createDataFrame([(900, "word " * 200_000, None, None, None), (7, None, "en", "a", 0), (7, None, "en", "a", 0)], docs.schema)
+    rows = docs.union(long)
+    wide = rows.select("*", *[F.lit("x").alias(c) for c in ("y", "part", "score", "keep", "h", "k", "meta")])
+    lost = labels.union(labels.selectExpr("doc_id + 10000 AS doc_id", "quality"))
+    out = quality.classify(wide, labels)
+    assert sorted(map(str, out.collect())) == sorted(map(str, quality.classify(rows, labels).collect())) and out.count() == 404
+    assert quality.classify(rows, lost).count() == 404
 
 
 ARTICLE = "The cat sat on the mat and it was not in the house of the man who was there with us on that day. " * 3
