@@ -17,8 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str, lang: str | None = "en") -> DataFrame:
-    """(cid, doc_id, text); the cluster of a document is its source."""
+def documents(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    """(cid, doc_id, text); the cluster of a document is its source. lang: only documents of that language, for rules that know one."""
     docs = table(spark, sf_dir, "documents")
     docs = docs if lang is None else docs.where(F.col("lang") == lang)
     return spread(docs.select(F.col("source").alias("cid"), "doc_id", "text"))

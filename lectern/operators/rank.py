@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import once
+
 #: Slices of the score range, and documents in a slice of rows with score 0.
 SLICES, DOCUMENTS = 4096, 1024
 PRUNE = 1e-10
@@ -95,10 +97,12 @@ def by_confidence(rows: DataFrame, conf: float | str, by: tuple[str, ...] = ("ci
 def retrieve(rows: DataFrame, how: str, value: float | int, by: tuple[str, ...] = ("cid",), min_rows: int | None = None, dedupe: bool = False, norm: bool = False, pruned: bool = True, text: str = "sent", score: str = "score", ties: tuple[str, ...] = ("doc_id", "sent_idx")) -> DataFrame:
     """Filters each ranking by ``conf`` or ``topK``; a cluster whose best score is exactly 0 passes whole.
 
-    min_rows: also the first so many.  pruned: first drops scores that are nothing.
+    min_rows: also the first so many.  pruned: first drops scores that are nothing.  The rows are computed when this is called,
+    once; those who need no text afterwards leave it out before.
     """
     if how not in ("conf", "topK"):
         raise ValueError(f"no such filter: {how}")
+    rows = once(rows)
     if how == "conf" and not dedupe and not norm:
         out = ranked(rows, by, score, ties, PRUNE if pruned else None)
         share = F.coalesce(F.round(F.try_divide(F.col("cum") - F.col(score), F.col("total")), PLACES), F.lit(0.0))
@@ -120,7 +124,7 @@ def retrieve(rows: DataFrame, how: str, value: float | int, by: tuple[str, ...]
 def sweep(rows: DataFrame, how: str, values: list, column: str, by: tuple[str, ...] = ("cid",), score: str = "score", ties: tuple[str, ...] = ("doc_id", "sent_idx")) -> DataFrame:
     """The retrieved rows for every parameter value, from one ranking: a row appears once for each value that keeps it."""
     if how == "conf":
-        out = ranked(prune(rows, score=score), by, score, ties)
+        out = ranked(once(prune(rows, score=score)), by, score, ties)
         share = F.coalesce(F.round(F.try_divide(F.col("cum") - F.col(score), F.col("total")), PLACES), F.lit(0.0))
         kept = F.filter(F.array(*[F.lit(float(v)) for v in values]), lambda v: share < v)
     else:

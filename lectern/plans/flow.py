@@ -139,8 +139,9 @@ def judge(summaries: DataFrame, references: DataFrame, length: int = evaluate.LE
 def tune_retrieval(scored: DataFrame, references: DataFrame, how: str, values: list, length: int = evaluate.LENGTH, stem: bool = False) -> DataFrame:
     """(value, recall, f1): mean ROUGE-2 of the retrieved text for each confidence or k, from one ranking."""
     rows = rank.sweep(rank.prune(scored), how, values, "value").withColumn("value", F.col("value").cast("double"))
+    rows = rows.where(F.col("rank") <= length)  # what scores holds a word at least: no more lines can count
     lines = F.array_sort(F.collect_list(F.struct("rank", "sent")))
-    text = rows.groupBy("value", "cid").agg(F.array_join(F.transform(F.slice(lines, 1, length), lambda x: x["sent"]), "\n").alias("text"))
+    text = rows.groupBy("value", "cid").agg(F.array_join(F.transform(lines, lambda x: x["sent"]), "\n").alias("text"))
     each = evaluate.pairwise(text.withColumnRenamed("value", "cand"), references, "rouge2", length, stem)
     one = each.groupBy("cid", "cand").agg(F.avg("recall").alias("recall"), F.avg("f1").alias("f1"))
     return one.groupBy(F.col("cand").alias("value")).agg(F.avg("recall").alias("recall"), F.avg("f1").alias("f1"))

@@ -27,7 +27,7 @@ def scored_passages(spark, sf_dir) -> DataFrame:
 
 
 def passage_retrieval(spark, sf_dir):
-    out = rank.retrieve(scored_passages(spark, sf_dir), "conf", CONF, ties=("doc_id", "p_idx"))
+    out = rank.retrieve(scored_passages(spark, sf_dir).select(*PASSAGE, "score"), "conf", CONF, ties=("doc_id", "p_idx"))
     return out.select(*PASSAGE, "rank", F.round("score", 6).alias("score"))
 
 

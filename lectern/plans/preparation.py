@@ -179,7 +179,6 @@ SELECT page_id, CAST(generate_subscripts(arr, 1) - 1 AS INTEGER) AS k, CAST(leng
 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
     "length_masks": S.select(
         S.DOCS, S.SENTENCES, "n AS (SELECT cid, doc_id, count(*) AS n FROM s GROUP BY ALL)",
-        "k AS (SELECT *, row_number() OVER w AS k, coalesce(sum(n) OVER (PARTITION BY cid ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM n WINDOW w AS (PARTITION BY cid ORDER BY doc_id))",
-        "SELECT cid, doc_id, rpad(repeat('1', CAST(least(n, 20) AS INTEGER)), 20, '0') AS mask FROM k WHERE k <= 10 AND used < 50",
+        "SELECT cid, doc_id, rpad(repeat('1', CAST(least(n, 20) AS INTEGER)), 20, '0') AS mask FROM n",
     ),
 }

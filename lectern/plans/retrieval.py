@@ -7,21 +7,32 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import corpus, rank, scoring
+from lectern.operators.store import once
 
 from . import sql as S
 
 CONF, TOP_K, MIN_ROWS = 0.75, 90, 30
 CONF_GRID = [round(0.05 * k, 2) for k in range(1, 21)]
-K_GRID = list(range(40, 160, 10))
+K_GRID = list(range(10, 510, 10))
 KEY = ["cid", "doc_id", "sent_idx"]
 
 
+def sentences(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    return corpus.sentences(corpus.documents(spark, sf_dir, lang)).drop("orig")
+
+
 def english_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.sentences(corpus.documents(spark, sf_dir)).drop("orig")
+    """For rules of English: stop words and stems."""
+    return sentences(spark, sf_dir, "en")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.tf_relevance(english_sentences(spark, sf_dir), corpus.cluster_queries(spark, sf_dir))
+    return scoring.tf_relevance(sentences(spark, sf_dir), corpus.cluster_queries(spark, sf_dir))
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scored`` without the text, computed once: rankings read it twice."""
+    return once(scored(spark, sf_dir).select(*KEY, "score"))
 
 
 def _out(rows: DataFrame, *more: str) -> DataFrame:
@@ -34,16 +45,16 @@ def tf_relevance(spark, sf_dir):
 
 def tf_dot_relevance(spark, sf_dir):
     queries = corpus.cluster_queries(spark, sf_dir)
-    sents = english_sentences(spark, sf_dir).join(queries.select("cid"), "cid", "left_semi")
+    sents = sentences(spark, sf_dir).join(queries.select("cid"), "cid", "left_semi")
     return _out(scoring.tf_dot_relevance(sents, queries, KEY))
 
 
 def count_relevance(spark, sf_dir):
-    return _out(scoring.count_relevance(english_sentences(spark, sf_dir), corpus.cluster_queries(spark, sf_dir)))
+    return _out(scoring.count_relevance(sentences(spark, sf_dir), corpus.cluster_queries(spark, sf_dir)))
 
 
 def rank_sentences(spark, sf_dir):
-    return _out(rank.ranked(scored(spark, sf_dir)), "rank")
+    return _out(rank.ranked(scores(spark, sf_dir)), "rank")
 
 
 def reverse_argsort_rank(spark, sf_dir):
@@ -55,24 +66,24 @@ def prune_tail(spark, sf_dir):
 
 
 def conf_filter_075(spark, sf_dir):
-    return _out(rank.by_confidence(rank.prune(scored(spark, sf_dir)), CONF), "rank")
+    return _out(rank.by_confidence(rank.prune(scores(spark, sf_dir)), CONF), "rank")
 
 
 def conf_filter_min_ns(spark, sf_dir):
-    return _out(rank.by_confidence(rank.prune(scored(spark, sf_dir)), 0.1, min_rows=MIN_ROWS), "rank")
+    return _out(rank.by_confidence(rank.prune(scores(spark, sf_dir)), 0.1, min_rows=MIN_ROWS), "rank")
 
 
 def conf_filter_minmax(spark, sf_dir):
-    return _out(rank.by_confidence(rank.prune(scored(spark, sf_dir)), CONF, norm=True), "rank")
+    return _out(rank.by_confidence(rank.prune(scores(spark, sf_dir)), CONF, norm=True), "rank")
 
 
 def retrieve_conf(spark, sf_dir):
     """The flagship: a cluster's best sentences up to 75 % of its score, or all where none scores."""
-    return _out(rank.retrieve(scored(spark, sf_dir), "conf", CONF), "rank")
+    return _out(rank.retrieve(scored(spark, sf_dir).drop("sent"), "conf", CONF), "rank")
 
 
 def retrieve_topk(spark, sf_dir):
-    return _out(rank.retrieve(scored(spark, sf_dir), "topK", TOP_K), "rank")
+    return _out(rank.retrieve(scored(spark, sf_dir).drop("sent"), "topK", TOP_K), "rank")
 
 
 def retrieve_conf_dedupe(spark, sf_dir):
@@ -80,7 +91,7 @@ def retrieve_conf_dedupe(spark, sf_dir):
 
 
 def zero_top_passthrough(spark, sf_dir):
-    rows = scored(spark, sf_dir)
+    rows = scores(spark, sf_dir)
     best = rows.groupBy("cid").agg(F.max("score").alias("best")).where("best = 0")
     return _out(rank.ranked(rows.join(best, "cid", "left_semi")), "rank")
 
@@ -111,17 +122,17 @@ def stemmed_sentences(spark, sf_dir):
 
 def stemmed_retrieval(spark, sf_dir):
     """Stop words off and stems on the sentences' side, stems on the query's."""
-    sents = corpus.sentences(corpus.documents(spark, sf_dir), rm_dialog=True, rm_stop=True, stem=True)
+    sents = corpus.sentences(corpus.documents(spark, sf_dir, "en"), rm_dialog=True, rm_stop=True, stem=True)
     queries = corpus.cluster_queries(spark, sf_dir).withColumn("query", T.normalise(F.col("query"), stem=True))
     return _out(rank.retrieve(scoring.tf_relevance(sents, queries), "conf", CONF), "rank")
 
 
 def short_sentence_filter(spark, sf_dir):
-    return english_sentences(spark, sf_dir).where(~T.is_short(F.col("sent"))).select(*KEY, T.n_words(F.col("sent")).alias("n_words"))
+    return sentences(spark, sf_dir).where(~T.is_short(F.col("sent"))).select(*KEY, T.n_words(F.col("sent")).alias("n_words"))
 
 
 def dialogue_filter(spark, sf_dir):
-    return english_sentences(spark, sf_dir).where(~T.is_dialogue(F.col("sent"), quoted_reports=True)).select(*KEY)
+    return sentences(spark, sf_dir).where(~T.is_dialogue(F.col("sent"), quoted_reports=True)).select(*KEY)
 
 
 def doc_head_100(spark, sf_dir):
@@ -144,7 +155,7 @@ def cluster_query_pairs(spark, sf_dir):
 
 
 def term_count_vectors(spark, sf_dir):
-    return scoring.term_counts(english_sentences(spark, sf_dir), KEY, T.terms(F.col("sent")))
+    return scoring.term_counts(sentences(spark, sf_dir), KEY, T.terms(F.col("sent")))
 
 
 def tf_weights(spark, sf_dir):
@@ -153,7 +164,7 @@ def tf_weights(spark, sf_dir):
 
 
 def sweep_conf_20(spark, sf_dir):
-    rows = rank.sweep(scored(spark, sf_dir), "conf", CONF_GRID, "conf")
+    rows = rank.sweep(scored(spark, sf_dir).drop("sent"), "conf", CONF_GRID, "conf")
     return rows.groupBy("conf", "cid").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("mass"))
 
 
@@ -165,7 +176,7 @@ def sweep_topk(spark, sf_dir):
 def oracle_retrieval(spark, sf_dir):
     """Retrieval with the last reference as the query: what a perfect query would find."""
     best = corpus.references(spark, sf_dir).where("ref_idx = 2").select("cid", F.col("text").alias("query"))
-    return _out(rank.retrieve(scoring.tf_relevance(english_sentences(spark, sf_dir), best), "conf", CONF), "rank")
+    return _out(rank.retrieve(scoring.tf_relevance(sentences(spark, sf_dir), best).drop("sent"), "conf", CONF), "rank")
 
 
 QUERIES = {
@@ -211,7 +222,7 @@ ORACLE = {
     "topk_90": S.select(S.BASE, S.top(TOP_K), f"SELECT {_OUT}, rank FROM tk"),
     "dedupe_then_topk": S.select(S.BASE, _LIVE, _DEDUPED, S.top(TOP_K, "dd"), f"SELECT {_OUT}, rank FROM tk"),
     "rank_records": S.select(S.BASE, S.top(TOP_K), "SELECT cid, rank, doc_id || '_' || sent_idx AS sid, round(score, 6) AS score, sent FROM tk"),
-    "stopword_projection": S.select(S.DOCS, S.SENTENCES, f"SELECT cid, doc_id, sent_idx, {S.without_stopwords('sent')} AS proc FROM s"),
+    "stopword_projection": S.select(S.ENGLISH_DOCS, S.SENTENCES, f"SELECT cid, doc_id, sent_idx, {S.without_stopwords('sent')} AS proc FROM s"),
     "short_sentence_filter": S.select(S.DOCS, S.SENTENCES, f"SELECT cid, doc_id, sent_idx, CAST(len(regexp_extract_all(sent, {S.WORD})) AS INTEGER) AS n_words FROM s WHERE len(regexp_extract_all(sent, {S.WORD})) >= 3"),
     "dialogue_filter": S.select(
         S.DOCS, S.SENTENCES,

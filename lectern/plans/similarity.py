@@ -8,27 +8,26 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.functions import vectors as V
 from lectern.operators import corpus, graph, rank, scoring
+from lectern.operators.store import once
 
 from . import sql as S
-from .retrieval import KEY, TOP_K, english_sentences, scored
+from .retrieval import KEY, TOP_K, scored, scores, sentences
 
-#: The nodes in the registered SQL; the plans take the reference's bound, TOP_K.
-NODES = 30
 EDGE = ["cid", "i_doc", "i_sent", "j_doc", "j_sent"]
 
 
 def top_sentences(spark, sf_dir, k: int = TOP_K) -> DataFrame:
-    """The graph's nodes: the k best sentences of each cluster, of those that score."""
-    return rank.top_k(rank.prune(scored(spark, sf_dir)), k)
+    """The graph's nodes: the k best sentences of each cluster, of those that score. Computed once: they are few, and read often."""
+    return once(rank.top_k(rank.prune(scored(spark, sf_dir)), k))
 
 
-def _weights(spark, sf_dir) -> DataFrame:
+def _weights(spark, sf_dir, nodes: DataFrame) -> DataFrame:
     """Of the graph's nodes."""
-    return scoring.tfidf_weights(top_sentences(spark, sf_dir), _queries(spark, sf_dir), KEY)
+    return scoring.tfidf_weights(nodes, _queries(spark, sf_dir), KEY)
 
 
 def _all_weights(spark, sf_dir) -> DataFrame:
-    return scoring.tfidf_weights(english_sentences(spark, sf_dir), _queries(spark, sf_dir), KEY)
+    return scoring.tfidf_weights(sentences(spark, sf_dir), _queries(spark, sf_dir), KEY)
 
 
 def _queries(spark, sf_dir) -> DataFrame:
@@ -44,8 +43,9 @@ def tfidf_query_relevance(spark, sf_dir):
     return scoring.query_similarity(_all_weights(spark, sf_dir), KEY).select(*KEY, F.round("score", 6).alias("score"))
 
 
-def edges_of(spark, sf_dir, other_document: bool = False) -> DataFrame:
-    return scoring.similarity_edges(_weights(spark, sf_dir).where("doc_id IS NOT NULL"), KEY, other_document)
+def edges_of(spark, sf_dir, other_document: bool = False, nodes: DataFrame | None = None) -> DataFrame:
+    nodes = top_sentences(spark, sf_dir) if nodes is None else nodes
+    return scoring.similarity_edges(once(_weights(spark, sf_dir, nodes).where("doc_id IS NOT NULL")), KEY, other_document)
 
 
 def sim_edges(spark, sf_dir):
@@ -58,8 +58,8 @@ def sim_edges_cross_doc(spark, sf_dir):
 
 def doc_level_idf_edges(spark, sf_dir):
     """All sentences of each cluster: as many pairs as share a term."""
-    weights = scoring.tfidf_weights(english_sentences(spark, sf_dir), None, KEY, unit=["doc_id"])
-    return scoring.similarity_edges(weights, KEY).select(*EDGE, F.round("w", 6).alias("w"))
+    weights = scoring.tfidf_weights(sentences(spark, sf_dir), None, KEY, unit=["doc_id"])
+    return scoring.similarity_edges(once(weights), KEY).select(*EDGE, F.round("w", 6).alias("w"))
 
 
 def row_l1_edges(spark, sf_dir):
@@ -73,21 +73,23 @@ def bow_cosine_pairs(spark, sf_dir):
     return pairs.select("cid", F.col("a.rank").alias("i"), F.col("b.rank").alias("j"), F.round(scoring.bow_cosine(F.col("a.sent"), F.col("b.sent")), 6).alias("cosine"))
 
 
-def _nodes(spark, sf_dir) -> DataFrame:
-    return graph.nodes(top_sentences(spark, sf_dir).select(*KEY, "sent", "score"))
+def _nodes(top: DataFrame) -> DataFrame:
+    return once(graph.nodes(top.select(*KEY, "sent", "score")))
 
 
 def graph_nodes(spark, sf_dir):
-    return _nodes(spark, sf_dir).select(*KEY, "i", F.round("rel", 6).alias("rel"))
+    return _nodes(top_sentences(spark, sf_dir)).select(*KEY, "i", F.round("rel", 6).alias("rel"))
 
 
 def graph_edges(spark, sf_dir):
-    return graph.edges(edges_of(spark, sf_dir), _nodes(spark, sf_dir)).select("cid", "i", "j", F.round("w", 6).alias("w"))
+    top = top_sentences(spark, sf_dir)
+    return graph.edges(edges_of(spark, sf_dir, nodes=top), _nodes(top)).select("cid", "i", "j", F.round("w", 6).alias("w"))
 
 
 def markov_scores(spark, sf_dir, damp: float = graph.DAMP) -> tuple[DataFrame, DataFrame, DataFrame]:
-    nodes = _nodes(spark, sf_dir)
-    edges = graph.edges(edges_of(spark, sf_dir), nodes)
+    top = top_sentences(spark, sf_dir)
+    nodes = _nodes(top)
+    edges = once(graph.edges(edges_of(spark, sf_dir, nodes=top), nodes))
     return nodes, edges, graph.markov(nodes, edges, damp)
 
 
@@ -112,8 +114,8 @@ def lexrank_baseline(spark, sf_dir):
 
 
 def _diverse(spark, sf_dir, omega: float) -> DataFrame:
-    _, edges, scores = markov_scores(spark, sf_dir)
-    return graph.diversity_rank(scores, edges, omega).select("cid", "i", "rank", F.round("score", 6).alias("score"))
+    _, edges, walked = markov_scores(spark, sf_dir)
+    return graph.diversity_rank(once(walked), edges, omega).select("cid", "i", "rank", F.round("score", 6).alias("score"))
 
 
 def diversity_rank_w0(spark, sf_dir):
@@ -155,20 +157,20 @@ def masked_rank(spark, sf_dir):
 
 
 def softmax_scores(spark, sf_dir):
-    rows = scored(spark, sf_dir)
+    rows = scored(spark, sf_dir).select(*KEY, "score")
     return rows.select(*KEY, F.round(V.softmax(F.col("score"), "cid"), 6).alias("score"))
 
 
 def minmax_scores(spark, sf_dir):
-    return rank.scaled(scored(spark, sf_dir)).select(*KEY, F.round("score", 6).alias("score"))
+    return rank.scaled(scores(spark, sf_dir)).select(*KEY, F.round("score", 6).alias("score"))
 
 
 def rel_l1(spark, sf_dir):
-    return graph.nodes(scored(spark, sf_dir), scale=True).select(*KEY, F.round("rel", 6).alias("rel"))
+    return graph.nodes(scored(spark, sf_dir).select(*KEY, "score"), scale=True).select(*KEY, F.round("rel", 6).alias("rel"))
 
 
 def rel_sqrt_tanh_l1(spark, sf_dir):
-    return graph.nodes(scored(spark, sf_dir), passage=True).select(*KEY, F.round("rel", 6).alias("rel"))
+    return graph.nodes(scored(spark, sf_dir).select(*KEY, "score"), passage=True).select(*KEY, F.round("rel", 6).alias("rel"))
 
 
 QUERIES = {
@@ -180,11 +182,13 @@ QUERIES = {
     )
 } | {f"dense_{k}": _dense(k) for k in V.KERNELS} | {"pool_avg": _pool("avg"), "pool_max": _pool("max")}
 
-_TOP = [S.BASE, S.top(NODES)]
+_TOP = [S.BASE, S.top(TOP_K)]
+#: All sentences, and all scored ones, under the name that the nodes have.
+_ALL, _SCORED = [S.BASE, "tk AS (SELECT * FROM s)"], [S.BASE, "tk AS (SELECT * FROM sc)"]
 _TERMS = rf"""nt AS (SELECT cid, doc_id, sent_idx, term, count(*) AS tf FROM
     (SELECT cid, doc_id, sent_idx, unnest(regexp_extract_all(lower(sent), {S.TERM})) AS term FROM tk) GROUP BY ALL)"""
 _IDF = """al AS (SELECT cid, doc_id, sent_idx, term, tf FROM nt UNION ALL SELECT cid, NULL, NULL, term, tf FROM qt),
-nn AS (SELECT cid, count(*) + 1 AS n FROM tk GROUP BY cid),
+nn AS (SELECT cid, count(*) + max(CAST(cid IN (SELECT cid FROM q) AS INTEGER)) AS n FROM tk GROUP BY cid),
 dfs AS (SELECT cid, term, count(*) AS df FROM al GROUP BY ALL),
 rw AS (SELECT al.*, tf * (ln((1 + n) / (1 + df)) + 1) AS raw FROM al JOIN dfs USING (cid, term) JOIN nn USING (cid)),
 tw AS (SELECT cid, doc_id, sent_idx, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY cid, doc_id, sent_idx)) AS w FROM rw)"""
@@ -237,17 +241,17 @@ _SCALED = "list_inner_product(a, b) / sqrt(len(a))"
 _KERNELS = {"cosine": _COSINE, "angular": f"1 - acos({_COSINE}) / pi()", "tanh": f"tanh({_SCALED})", "sigmoid": f"1 / (1 + exp(-({_SCALED})))"}
 
 ORACLE = {
-    "tfidf_weights": S.select(*_TOP, _TERMS, _IDF, "SELECT cid, doc_id, sent_idx, term, round(w, 6) AS w FROM tw WHERE doc_id IS NOT NULL"),
+    "tfidf_weights": S.select(*_ALL, _TERMS, _IDF, "SELECT cid, doc_id, sent_idx, term, round(w, 6) AS w FROM tw WHERE doc_id IS NOT NULL"),
     "tfidf_query_relevance": S.select(
-        *_TOP, _TERMS, _IDF,
+        *_ALL, _TERMS, _IDF,
         "SELECT a.cid, a.doc_id, a.sent_idx, round(sum(a.w * b.w), 6) AS score FROM tw a JOIN tw b ON a.cid = b.cid AND a.term = b.term AND a.doc_id IS NOT NULL AND b.doc_id IS NULL GROUP BY ALL",
     ),
     "sim_edges": S.select(*_TOP, _TERMS, _IDF, _edges(), f"SELECT {_EDGE}, round(w, 6) AS w FROM ed"),
     "sim_edges_cross_doc": S.select(*_TOP, _TERMS, _IDF, _edges("a.doc_id <> b.doc_id"), f"SELECT {_EDGE}, round(w, 6) AS w FROM ed"),
-    "doc_level_idf_edges": S.select(*_TOP, _TERMS, _DOC_IDF, _edges(), f"SELECT {_EDGE}, round(w, 6) AS w FROM ed"),
+    "doc_level_idf_edges": S.select(*_ALL, _TERMS, _DOC_IDF, _edges(), f"SELECT {_EDGE}, round(w, 6) AS w FROM ed"),
     "row_l1_edges": S.select(*_TOP, _TERMS, _IDF, _edges(), f"SELECT {_EDGE}, round(w / sum(w) OVER (PARTITION BY cid, i_doc, i_sent), 6) AS p FROM ed"),
     "bow_cosine_pairs": S.select(
-        S.BASE, S.top(10),
+        S.BASE, S.top(TOP_K),
         "bg AS (SELECT cid, rank, t, count(*) AS n FROM (SELECT cid, rank, unnest(string_split(sent, ' ')) AS t FROM tk) GROUP BY ALL)",
         "bn AS (SELECT cid, rank, sqrt(sum(n * n)) AS norm FROM bg GROUP BY ALL)",
         "hit AS (SELECT a.cid, a.rank AS i, b.rank AS j, sum(a.n * b.n) AS dot FROM bg a JOIN bg b ON a.cid = b.cid AND a.t = b.t AND a.rank < b.rank GROUP BY ALL)",
@@ -258,24 +262,23 @@ ORACLE = {
     "graph_edges": S.select(*GRAPH, "SELECT cid, i, j, round(w, 6) AS w FROM ge"),
     "markov_biased": S.select(*GRAPH, walk_sql("rel"), "SELECT cid, i, round(score, 6) AS score FROM mk", recursive=True),
     "markov_unbiased": S.select(*GRAPH, walk_sql("1 / count(*) OVER (PARTITION BY cid)"), "SELECT cid, i, round(score, 6) AS score FROM mk", recursive=True),
-    "lexrank_baseline": S.select(
-        *_TOP, _TERMS, _DOC_IDF, _edges(), _NODE, _NUMBERED, walk_sql("1 / count(*) OVER (PARTITION BY cid)"),
-        f"SELECT cid, i, {_BY_I}, round(score, 6) AS score FROM mk", recursive=True,
-    ),
     "diversity_rank_w0": S.select(*GRAPH, walk_sql("rel"), f"SELECT cid, i, {_BY_I}, round(score, 6) AS score FROM mk", recursive=True),
     "diversity_rank_w4": S.select(*GRAPH, walk_sql("rel"), greedy_sql(4), "SELECT cid, CAST(k - 1 AS INTEGER) AS i, step AS rank, round(score, 6) AS score FROM rec WHERE step > 0", recursive=True),
     "masked_rank": S.select(
         _TRIGGERS.format(k=1), f"ms AS (SELECT label, vec_id, CASE WHEN vec_id % 2 = 0 THEN {_COSINE} ELSE CAST('-inf' AS DOUBLE) END AS score FROM tr)",
         "SELECT label, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, vec_id DESC) AS INTEGER) AS rank FROM ms",
     ),
-    "softmax_scores": S.select(*_TOP, "e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY cid)) AS x FROM tk)", "SELECT cid, doc_id, sent_idx, round(x / sum(x) OVER (PARTITION BY cid), 6) AS score FROM e"),
-    "minmax_scores": S.select(*_TOP, "b AS (SELECT *, min(score) OVER (PARTITION BY cid) AS lo, max(score) OVER (PARTITION BY cid) AS hi FROM tk)", "SELECT cid, doc_id, sent_idx, round(coalesce((score - lo) / nullif(hi - lo, 0), 0.0), 6) AS score FROM b"),
+    "softmax_scores": S.select(*_SCORED, "e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY cid)) AS x FROM tk)", "SELECT cid, doc_id, sent_idx, round(x / sum(x) OVER (PARTITION BY cid), 6) AS score FROM e"),
+    "minmax_scores": S.select(*_SCORED, "b AS (SELECT *, min(score) OVER (PARTITION BY cid) AS lo, max(score) OVER (PARTITION BY cid) AS hi FROM tk)", "SELECT cid, doc_id, sent_idx, round(coalesce((score - lo) / nullif(hi - lo, 0), 0.0), 6) AS score FROM b"),
     "rel_l1": S.select(
-        *_TOP, "b AS (SELECT *, min(score) OVER (PARTITION BY cid) AS lo, max(score) OVER (PARTITION BY cid) AS hi FROM tk)",
+        *_SCORED, "b AS (SELECT *, min(score) OVER (PARTITION BY cid) AS lo, max(score) OVER (PARTITION BY cid) AS hi FROM tk)",
         "x AS (SELECT *, coalesce((score - lo) / nullif(hi - lo, 0), 0.0) AS x FROM b)",
         "SELECT cid, doc_id, sent_idx, round(coalesce(x / nullif(sum(x) OVER (PARTITION BY cid), 0), 1 / count(*) OVER (PARTITION BY cid)), 6) AS rel FROM x",
     ),
-    "rel_sqrt_tanh_l1": S.select(*_TOP, "x AS (SELECT *, tanh(sqrt(score)) AS x FROM tk)", "SELECT cid, doc_id, sent_idx, round(x / sum(x) OVER (PARTITION BY cid), 6) AS rel FROM x"),
+    "rel_sqrt_tanh_l1": S.select(
+        *_SCORED, "x AS (SELECT *, tanh(sqrt(score)) AS x FROM tk)",
+        "SELECT cid, doc_id, sent_idx, round(coalesce(x / nullif(sum(x) OVER (PARTITION BY cid), 0), 1 / count(*) OVER (PARTITION BY cid)), 6) AS rel FROM x",
+    ),
     "pool_avg": S.select(_TRIGGERS.format(k=3), f"SELECT label, vec_id, round(avg({_COSINE}), 6) AS score FROM tr GROUP BY ALL"),
     "pool_max": S.select(_TRIGGERS.format(k=3), f"SELECT label, vec_id, round(max({_COSINE}), 6) AS score FROM tr GROUP BY ALL"),
 } | {f"dense_{k}": S.select(_TRIGGERS.format(k=1), f"SELECT label, vec_id, round({x}, 6) AS score FROM tr") for k, x in _KERNELS.items()}

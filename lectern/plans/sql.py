@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from lectern.functions.stopwords import ENGLISH
 
-DOCS = "d AS (SELECT source AS cid, doc_id, text FROM documents WHERE lang = 'en')"
+DOCS = "d AS (SELECT source AS cid, doc_id, text FROM documents)"
+ENGLISH_DOCS = "d AS (SELECT source AS cid, doc_id, text FROM documents WHERE lang = 'en')"
 SENTENCES = r"""sa AS (SELECT cid, doc_id, list_filter(list_transform(regexp_split_to_array(
     regexp_replace(text, '([.!?])[ \t\n\r]+', '\1' || chr(10), 'g'), '\n+'),
     lambda x: trim(regexp_replace(lower(x), '[ \t\n\r]+', ' ', 'g'))), lambda x: x <> '') AS arr FROM d),

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators import corpus, evaluate, graph, rank, summarize
+from lectern.operators.store import once
 
 from . import flow, similarity
 from . import sql as S
-from .retrieval import KEY, scored
+from .retrieval import CONF_GRID, KEY, scored
 from .similarity import markov_scores
 
 BUDGET = 250
@@ -39,8 +40,8 @@ def summary_text(spark, sf_dir):
 
 def centrality_summary(spark, sf_dir, omega: float = 4.0):
     """The whole last stage: graph, biased walk, diverse ranking, selection."""
-    nodes, edges, scores = markov_scores(spark, sf_dir)
-    order = graph.diversity_rank(scores, edges, omega)
+    nodes, edges, walked = markov_scores(spark, sf_dir)
+    order = graph.diversity_rank(once(walked), edges, omega)
     rows = order.join(nodes.select("cid", "i", F.col("sent").alias("orig"), "sent"), ["cid", "i"])
     return summarize.text_of(summarize.select(rows, BUDGET, summarize.COSINE))
 
@@ -70,7 +71,7 @@ def rouge1_stemmed(spark, sf_dir):
     return _percent(out, "recall", "precision", "f1")
 
 
-TUNED = [0.25, 0.5, 0.75]
+TUNED = CONF_GRID
 
 
 def sweep_conf_rouge2(spark, sf_dir):
