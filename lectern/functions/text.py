@@ -75,6 +75,12 @@ def stemmed(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else " ".join(porter_stem(w) for w in s.split()))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def stemmed_each(texts: pd.Series) -> pd.Series:
+    """As ``stemmed``, of each text of an array."""
+    return texts.map(lambda ts: None if ts is None else [None if t is None else " ".join(porter_stem(w) for w in t.split()) for t in ts])
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def stemmed_terms(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda ws: None if ws is None else [porter_stem(w) for w in ws])

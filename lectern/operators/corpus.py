@@ -58,19 +58,23 @@ def sentences(docs: DataFrame, most: int | None = None, **normalise) -> DataFram
         kept = pairs if most is None else F.slice(pairs, 1, most)
         return docs.select(*other, F.posexplode(kept).alias("sent_idx", "sent")).select(*other, "sent_idx", F.col("sent").alias("orig"), "sent")
     if normalise.get("stem"):
-        # the stemmer is no expression of an array's elements: process one row a sentence, then number what is left
-        rows = docs.select(*other, F.posexplode(pairs).alias("raw_idx", "orig")).withColumn("sent", T.normalise(F.col("orig"), **normalise))
-        rows = rows.where("sent IS NOT NULL AND sent <> ''").groupBy(*other).agg(F.array_sort(F.collect_list(F.struct("raw_idx", "orig", "sent"))).alias("x"))
-        kept = F.col("x") if most is None else F.slice("x", 1, most)
-        return rows.select(*other, F.posexplode(kept).alias("sent_idx", "e")).select(*other, "sent_idx", "e.orig", "e.sent")
-    both = F.transform(pairs, lambda s: F.struct(s.alias("orig"), T.normalise(s, **normalise).alias("sent")))
+        # the stemmer is no expression of an array's elements, so it takes a document's sentences as one array
+        ship(docs.sparkSession)
+        rest = {k: v for k, v in normalise.items() if k != "stem"}
+        docs = docs.select(*other, pairs.alias("_orig")).withColumn("_sent", T.stemmed_each(F.transform("_orig", lambda s: T.normalise(s, **rest))))
+        both = F.zip_with("_orig", "_sent", lambda o, s: F.struct(o.alias("orig"), s.alias("sent")))
+    else:
+        both = F.transform(pairs, lambda s: F.struct(s.alias("orig"), T.normalise(s, **normalise).alias("sent")))
     both = F.filter(both, lambda e: e["sent"].isNotNull() & (e["sent"] != ""))
     both = both if most is None else F.slice(both, 1, most)
     return docs.select(*other, F.posexplode(both).alias("sent_idx", "e")).select(*other, "sent_idx", "e.orig", "e.sent")
 
 
-def paragraphs(docs: DataFrame, most: int | None = None, tiled: bool = False) -> DataFrame:
-    """(the documents' other columns, para_idx, para): blank-line parts, or topic tiles."""
+def paragraphs(docs: DataFrame, most: int | None = None, tiled: bool = False, **normalise) -> DataFrame:
+    """(the documents' other columns, para_idx, para): blank-line parts, or topic tiles; most: only that many from the head.
+
+    normalise: adds orig and proc, the paragraph's sentences, lower-cased and as asked, of those whose processed form is not empty.
+    """
     from lectern.functions.tiling import tiles
 
     other = [c for c in docs.columns if c != "text"]
@@ -78,7 +82,13 @@ def paragraphs(docs: DataFrame, most: int | None = None, tiled: bool = False) ->
         ship(docs.sparkSession)
     parts = tiles(F.col("text")) if tiled else T.split_paragraphs(F.col("text"))
     docs = docs.select(*other, parts.alias("parts"))
-    return docs.select(*other, F.posexplode(F.slice("parts", 1, most) if most else F.col("parts")).alias("para_idx", "para"))
+    out = docs.select(*other, F.posexplode(F.slice("parts", 1, most) if most else F.col("parts")).alias("para_idx", "para"))
+    if not normalise:
+        return out
+    both = F.transform(T.split_sentences(F.col("para")), lambda s: F.struct(T.collapse(s).alias("orig"), T.normalise(s, **normalise).alias("sent")))
+    both = F.filter(both, lambda e: e["sent"].isNotNull() & (e["sent"] != ""))
+    out = out.withColumn("_both", both)
+    return out.withColumn("orig", F.array_join("_both.orig", " ")).withColumn("proc", F.array_join("_both.sent", " ")).drop("_both")
 
 
 def without_listed(docs: DataFrame, listed: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -248,11 +248,23 @@ def diversity_rank(scored: DataFrame, edges: DataFrame, omega: float) -> DataFra
 
         return ranked(scored.select("cid", "i", "score"), ties=("i",)).select("cid", "i", "rank", "score")
 
+    return diversity_ranks(scored, edges, [omega]).drop("omega")
+
+
+def diversity_ranks(scored: DataFrame, edges: DataFrame, omegas: list[float]) -> DataFrame:
+    """(cid, omega, i, rank, score): the ranking of ``diversity_rank`` for each penalty; a cluster's matrix is made once."""
+    if min(omegas, default=0) < 0:
+        raise ValueError("omega is negative")
+
     def pick(key: tuple, own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("i")
-        order, at = diverse_order(own["score"].to_numpy(), _matrix(len(own), links), omega)
-        return pd.DataFrame({"cid": key[0], "i": own["i"].to_numpy()[order], "rank": np.arange(1, len(order) + 1), "score": at})
+        score, m, i = own["score"].to_numpy(), _matrix(len(own), links), own["i"].to_numpy()
+        out = []
+        for omega in omegas:
+            order, at = diverse_order(score, m, omega)
+            out.append(pd.DataFrame({"cid": key[0], "omega": float(omega), "i": i[order], "rank": np.arange(1, len(order) + 1), "score": at}))
+        return pd.concat(out)
 
     ship(scored.sparkSession)
     both = _own(scored, "cid", "i", "score").groupBy("cid").cogroup(_own(edges, "cid", "i", "j", "w").groupBy("cid"))
-    return both.applyInPandas(pick, "cid string, i int, rank int, score double")
+    return both.applyInPandas(pick, "cid string, omega double, i int, rank int, score double")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lectern.operators import corpus, ensemble, evaluate, graph, passages, rank, scoring, summarize
+from lectern.operators.store import once
 from lectern.shipping import ship
 
 Scorer = Callable[[DataFrame, DataFrame], DataFrame]
@@ -164,16 +165,14 @@ def dispatch(mode: str, docs: DataFrame, queries: DataFrame, references: DataFra
 def tune_omega(docs: DataFrame, queries: DataFrame, references: DataFrame, values: list[float], p: Parameters = Parameters()) -> DataFrame:
     """(omega, recall, f1): mean ROUGE-2 for each penalty, from one graph; only the greedy part is done anew."""
     key = ["cid", "doc_id", "sent_idx"]
-    answers = answer(retrieve(corpus.sentences(docs), queries, p.retrieval), queries, p.answering)
+    answers = once(answer(retrieve(corpus.sentences(docs), queries, p.retrieval), queries, p.answering))
     weights = scoring.tfidf_weights(answers, queries.join(answers.select("cid").distinct(), "cid", "left_semi"), key)
     nodes = graph.nodes(answers.select(*key, "sent", "score"))
-    edges = graph.edges(scoring.similarity_edges(weights.where("doc_id IS NOT NULL"), key), nodes)
-    scores = graph.markov(nodes, edges, p.summary.damp, p.summary.steps)
-    out = None
-    for omega in values:
-        rows = graph.diversity_rank(scores, edges, omega).join(nodes.select("cid", "i", F.col("sent").alias("orig"), "sent"), ["cid", "i"])
-        text = summarize.text_of(summarize.select(rows, p.summary.budget, p.summary.cosine)).select("cid", F.col("summary").alias("text"))
-        one = evaluate.scores(text, references, "rouge2").agg(F.avg("recall").alias("recall"), F.avg("f1").alias("f1"))
-        one = one.select(F.lit(float(omega)).alias("omega"), "recall", "f1")
-        out = one if out is None else out.unionByName(one)
-    return out
+    edges = once(graph.edges(scoring.similarity_edges(weights.where("doc_id IS NOT NULL"), key), nodes))
+    order = graph.diversity_ranks(graph.markov(nodes, edges, p.summary.damp, p.summary.steps), edges, values)
+    rows = order.join(nodes.select("cid", "i", F.col("sent").alias("orig"), "sent"), ["cid", "i"])
+    rows = rows.withColumn("cid", F.concat_ws("\x1f", F.col("omega").cast("string"), "cid"))  # each penalty makes a summary of each cluster
+    text = summarize.text_of(summarize.select(rows, p.summary.budget, p.summary.cosine))
+    text = text.select(F.substring_index("cid", "\x1f", -1).alias("cid"), F.substring_index("cid", "\x1f", 1).cast("double").alias("cand"), F.col("summary").alias("text"))
+    each = evaluate.pairwise(text, references, "rouge2").groupBy("cid", "cand").agg(F.avg("recall").alias("recall"), F.avg("f1").alias("f1"))
+    return each.groupBy(F.col("cand").alias("omega")).agg(F.avg("recall").alias("recall"), F.avg("f1").alias("f1")).orderBy("omega")

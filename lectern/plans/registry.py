@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import passages, preparation, retrieval, similarity, summaries
+from . import forms, passages, preparation, retrieval, similarity, summaries
 
-_MODULES = (retrieval, similarity, passages, summaries, preparation)
+_MODULES = (retrieval, similarity, passages, summaries, preparation, forms)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

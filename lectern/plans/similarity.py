@@ -57,7 +57,7 @@ def sim_edges_cross_doc(spark, sf_dir):
 
 
 def doc_level_idf_edges(spark, sf_dir):
-    """All sentences of each cluster: as many pairs as share a term."""
+    """All sentences of each cluster: as many pairs as share a term, millions already at the second scale, hence without SQL."""
     weights = scoring.tfidf_weights(sentences(spark, sf_dir), None, KEY, unit=["doc_id"])
     return scoring.similarity_edges(once(weights), KEY).select(*EDGE, F.round("w", 6).alias("w"))
 
@@ -126,7 +126,7 @@ def diversity_rank_w4(spark, sf_dir):
     return _diverse(spark, sf_dir, 4)
 
 
-def _to_triggers(spark, sf_dir, triggers: int) -> DataFrame:
+def to_triggers(spark, sf_dir, triggers: int) -> DataFrame:
     """(label, vec_id, a, t, b): every vector with the first vectors of its label."""
     rows = corpus.table(spark, sf_dir, "embeddings").where("label IS NOT NULL")
     first = rank.top_k(rows.withColumn("score", F.lit(0.0)), triggers, ("label",), ties=("vec_id",))
@@ -135,14 +135,14 @@ def _to_triggers(spark, sf_dir, triggers: int) -> DataFrame:
 
 def _dense(name: str):
     def query(spark, sf_dir):
-        return _to_triggers(spark, sf_dir, 1).select("label", "vec_id", F.round(V.kernel(name, F.col("a"), F.col("b")), 6).alias("score"))
+        return to_triggers(spark, sf_dir, 1).select("label", "vec_id", F.round(V.kernel(name, F.col("a"), F.col("b")), 6).alias("score"))
 
     return query
 
 
 def _pool(how: str):
     def query(spark, sf_dir):
-        pairs = _to_triggers(spark, sf_dir, 3).withColumn("score", V.cosine(F.col("a"), F.col("b")))
+        pairs = to_triggers(spark, sf_dir, 3).withColumn("score", V.cosine(F.col("a"), F.col("b")))
         return scoring.pooled(pairs, ["label", "vec_id"], how).select("label", "vec_id", F.round("score", 6).alias("score"))
 
     return query
@@ -150,7 +150,7 @@ def _pool(how: str):
 
 def masked_rank(spark, sf_dir):
     """Padded slots (here odd ids) have the score -infinity and rank last."""
-    pairs = _to_triggers(spark, sf_dir, 1).withColumn("score", V.cosine(F.col("a"), F.col("b"))).withColumn("valid", F.col("vec_id") % 2 == 0)
+    pairs = to_triggers(spark, sf_dir, 1).withColumn("score", V.cosine(F.col("a"), F.col("b"))).withColumn("valid", F.col("vec_id") % 2 == 0)
     rows = scoring.masked_scores(pairs, "valid")
     out = rank.reverse_ranked(rows, ("label",), ties=("vec_id",))
     return out.select("label", "vec_id", "rank")
@@ -192,10 +192,6 @@ nn AS (SELECT cid, count(*) + max(CAST(cid IN (SELECT cid FROM q) AS INTEGER)) A
 dfs AS (SELECT cid, term, count(*) AS df FROM al GROUP BY ALL),
 rw AS (SELECT al.*, tf * (ln((1 + n) / (1 + df)) + 1) AS raw FROM al JOIN dfs USING (cid, term) JOIN nn USING (cid)),
 tw AS (SELECT cid, doc_id, sent_idx, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY cid, doc_id, sent_idx)) AS w FROM rw)"""
-_DOC_IDF = """nn AS (SELECT cid, count(DISTINCT doc_id) AS n FROM tk GROUP BY cid),
-dfs AS (SELECT cid, term, count(DISTINCT doc_id) AS df FROM nt GROUP BY ALL),
-rw AS (SELECT nt.*, tf * (ln((1 + n) / (1 + df)) + 1) AS raw FROM nt JOIN dfs USING (cid, term) JOIN nn USING (cid)),
-tw AS (SELECT cid, doc_id, sent_idx, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY cid, doc_id, sent_idx)) AS w FROM rw)"""
 
 
 def _edges(condition: str = "(a.doc_id <> b.doc_id OR a.sent_idx <> b.sent_idx)") -> str:
@@ -248,7 +244,6 @@ ORACLE = {
     ),
     "sim_edges": S.select(*_TOP, _TERMS, _IDF, _edges(), f"SELECT {_EDGE}, round(w, 6) AS w FROM ed"),
     "sim_edges_cross_doc": S.select(*_TOP, _TERMS, _IDF, _edges("a.doc_id <> b.doc_id"), f"SELECT {_EDGE}, round(w, 6) AS w FROM ed"),
-    "doc_level_idf_edges": S.select(*_ALL, _TERMS, _DOC_IDF, _edges(), f"SELECT {_EDGE}, round(w, 6) AS w FROM ed"),
     "row_l1_edges": S.select(*_TOP, _TERMS, _IDF, _edges(), f"SELECT {_EDGE}, round(w / sum(w) OVER (PARTITION BY cid, i_doc, i_sent), 6) AS p FROM ed"),
     "bow_cosine_pairs": S.select(
         S.BASE, S.top(TOP_K),

@@ -80,6 +80,15 @@ def sweep_conf_rouge2(spark, sf_dir):
     return out.select("value", evaluate.percent(F.col("recall")).alias("recall"), evaluate.percent(F.col("f1")).alias("f1"))
 
 
+OMEGAS = list(range(21))
+
+
+def sweep_omega(spark, sf_dir):
+    """Mean ROUGE-2 of the whole flow for each penalty."""
+    out = flow.tune_omega(corpus.documents(spark, sf_dir), corpus.cluster_queries(spark, sf_dir), corpus.references(spark, sf_dir), OMEGAS)
+    return out.select("omega", evaluate.percent(F.col("recall")).alias("recall"), evaluate.percent(F.col("f1")).alias("f1"))
+
+
 def human_leave_one_out(spark, sf_dir):
     return _percent(evaluate.leave_one_out(corpus.references(spark, sf_dir), "rouge2"), "recall", "f1")
 
@@ -88,7 +97,7 @@ def reference_counts(spark, sf_dir):
     return evaluate.reference_counts(corpus.references(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (select_budget_cos1, select_budget_cos06, summary_text, centrality_summary, lead_docs_50, rouge1_stemmed, sweep_conf_rouge2, human_leave_one_out, reference_counts)}
+QUERIES = {f.__name__: f for f in (select_budget_cos1, select_budget_cos06, summary_text, centrality_summary, lead_docs_50, rouge1_stemmed, sweep_conf_rouge2, sweep_omega, human_leave_one_out, reference_counts)}
 QUERIES |= {"rouge1": _rouge("rouge1", None), "rouge2": _rouge("rouge2", None), "rouge_su4": _rouge("rougeSU4", None), "rouge_truncated_250": _rouge("rouge2", 250)}
 
 _SELECT = [

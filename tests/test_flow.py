@@ -61,6 +61,40 @@ def test_tune(spark, tables):
     assert [r["omega"] for r in out] == [0.0, 4.0] and all(r["f1"] >= 0 for r in out)
 
 
+def test_penalties_are_each_flow(spark, tables):
+    """One graph for all penalties gives what the flow gives for each."""
+    from pyspark.sql import functions as F
+
+    from lectern.operators import evaluate
+
+    docs, queries, references = tables
+    p = flow.Parameters(answering=flow.Answering(k=20), summary=flow.Summary(budget=60))
+    found = {r["omega"]: r for r in flow.tune_omega(docs, queries, references, [0, 3], p).collect()}
+    for omega in (0, 3):
+        one = flow.run(docs, queries, flow.Parameters(answering=p.answering, summary=flow.Summary(budget=60, omega=omega)))
+        want = evaluate.scores(one.select("cid", F.col("summary").alias("text")), references, "rouge2").agg(F.avg("recall"), F.avg("f1")).first()
+        assert (found[omega]["recall"], found[omega]["f1"]) == pytest.approx(tuple(want))
+
+
+def test_stems_of_documents(spark):
+    """Stems are those of each word; rows with one id stay rows of their own."""
+    from lectern.functions import porter
+
+    rows = spark.createDataFrame([("c", 1, "Running dogs ran. The cats are sleeping!"), ("c", 1, "Another text of it. Hopping"), ("c", 2, None), ("c", 3, "")], "cid string, doc_id long, text string")
+    out = corpus.sentences(rows, stem=True, rm_stop=True).collect()
+    plain_rows = corpus.sentences(rows, rm_stop=True).collect()
+    assert sorted((r["doc_id"], r["sent_idx"], r["orig"], r["sent"]) for r in out) == sorted((r["doc_id"], r["sent_idx"], r["orig"], " ".join(map(porter.stem, r["sent"].split()))) for r in plain_rows)
+    assert len(out) == 4 and [r["sent"] for r in corpus.sentences(rows, most=1, stem=True, rm_short=True).collect()] == ["run dog ran.", "anoth text of it."]
+
+
+def test_topic_tiles_of_documents(spark):
+    from lectern.functions import tiling
+
+    rows = corpus.documents(spark, SF).limit(20).cache()
+    want = {(r["doc_id"], k): t for r in rows.collect() for k, t in enumerate(tiling.tile(r["text"]))}
+    assert {(r["doc_id"], r["para_idx"]): r["para"] for r in corpus.paragraphs(rows, tiled=True).collect()} == want
+
+
 def test_modes(tables):
     p = flow.Parameters(answering=flow.Answering(k=20), summary=flow.Summary(budget=60))
     assert flow.dispatch("rec", *tables, p).count() > 0
