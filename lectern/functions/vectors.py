@@ -64,16 +64,3 @@ def l1(x: Column, *by: str) -> Column:
 
 def passage_transform(x: Column) -> Column:
     return F.tanh(F.sqrt(x))
-
-
-def sum_of_squared_counts(tokens: Column) -> Column:
-    """Of a token array, the sum over distinct tokens of their squared counts, from one pass over the sorted tokens."""
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
-
-    def step(a: Column, t: Column) -> Column:
-        same = a["last"].eqNullSafe(t)
-        run = F.when(same, a["run"] + 1).otherwise(F.lit(1).cast("long"))
-        # a run of n adds 1 + 3 + ... + (2n - 1) = n * n
-        return F.struct(t.alias("last"), run.alias("run"), (a["sum"] + 2 * run - 1).alias("sum"))
-
-    return F.aggregate(F.array_sort(tokens), start, step, lambda a: a["sum"])

@@ -1,17 +1,28 @@
 """Lexical scores of sentences against their cluster's query, and TF-IDF weights and similarities.
 
-A score needs a sentence and its query only, so it is computed in the row that holds both: tokens, dot product and
-norm are expressions, and no term table is shuffled.  Inverse document frequencies need one: it is counted per
+A score needs a sentence and its query only, so it is computed in the row that holds both, and no term table is shuffled.
+Counting a row's tokens takes a hash table, which array expressions do not have: they compare all tokens with all, interpreted, at
+several times the cost of an Arrow batch handed to a counter.  Inverse document frequencies need a term table: it is counted per
 (cluster, term) with a partial count before the shuffle.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lectern.functions import text as T
-from lectern.functions import vectors as V
+from lectern.shipping import ship
+
+#: The tokens of ``text.terms``: letters, numbers and underscores, two or more.
+_TERM = re.compile(r"\w{2,}")
 
 
 def term_counts(rows: DataFrame, key: list[str], tokens) -> DataFrame:
@@ -25,33 +36,48 @@ def tf_weights(counts: DataFrame, key: list[str]) -> DataFrame:
     return counts.withColumn("w", F.col("tf") / F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(w)))
 
 
-def query_profiles(queries: DataFrame, tokens=None) -> DataFrame:
-    """(cid, query, q_tf map, q_norm): one small row a cluster."""
-    tokens = T.terms(F.col("query")) if tokens is None else tokens
-    counts = term_counts(queries, ["cid"], tokens).groupBy("cid").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("q_tf"), F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("q_norm"))
-    return queries.join(counts, "cid", "left")
+@lru_cache(maxsize=4096)
+def _query_counts(query: str | None) -> tuple[dict[str, int], float]:
+    """A query's terms with their counts, and the length of that vector; a worker counts each query once."""
+    counts = Counter(_TERM.findall(query or ""))
+    return counts, math.sqrt(sum(n * n for n in counts.values()))
+
+
+def _dot(tokens: list[str], query: dict[str, int]) -> int:
+    return sum([query[t] for t in tokens if t in query])
+
+
+@F.pandas_udf(DoubleType())
+def _cosine(text: pd.Series, query: pd.Series) -> pd.Series:
+    out = []
+    for t, q in zip(text, query, strict=True):
+        counts, length = _query_counts(q)
+        tokens = _TERM.findall(t or "")
+        dot = _dot(tokens, counts)
+        out.append(dot / (math.sqrt(sum([n * n for n in Counter(tokens).values()])) * length) if dot else 0.0)
+    return pd.Series(out, dtype="float64")
 
 
-def _matches(tokens):
-    """The dot product of counts: over the terms shared with the query, of which there are few, found by hashing."""
-    shared = F.array_intersect(tokens, F.map_keys("q_tf"))
-    each = lambda a, t: a + F.try_element_at(F.col("q_tf"), t) * F.size(F.filter(tokens, lambda x: x == t))
-    return F.coalesce(F.aggregate(shared, F.lit(0).cast("long"), each), F.lit(0).cast("long"))
+@F.pandas_udf(DoubleType())
+def _overlap(text: pd.Series, query: pd.Series) -> pd.Series:
+    return pd.Series([_dot(_TERM.findall(t or ""), _query_counts(q)[0]) for t, q in zip(text, query, strict=True)], dtype="float64")
+
+
+def _scored(sents: DataFrame, queries: DataFrame, text: str, score) -> DataFrame:
+    """Sentences of clusters with a query, and their score. A query is a row a cluster, and travels with the sentences of its cluster."""
+    ship(sents.sparkSession)
+    rows = sents.join(queries.select("cid", F.lower("query").alias("_query")), "cid")
+    return rows.withColumn("score", score(F.lower(text), F.col("_query"))).drop("_query")
 
 
 def tf_relevance(sents: DataFrame, queries: DataFrame, text: str = "sent") -> DataFrame:
     """Adds ``score``: the cosine of term counts with the cluster's query; 0 where either has no term."""
-    tokens = F.col("_tokens")
-    rows = sents.join(query_profiles(queries), "cid").withColumn("_tokens", T.terms(F.col(text)))
-    norm = F.sqrt(V.sum_of_squared_counts(tokens).cast("double"))
-    score = F.coalesce(F.try_divide(_matches(tokens).cast("double"), norm * F.col("q_norm")), F.lit(0.0))
-    return rows.withColumn("score", score).drop("_tokens", "q_tf", "q_norm", "query")
+    return _scored(sents, queries, text, _cosine)
 
 
 def count_relevance(sents: DataFrame, queries: DataFrame, text: str = "sent") -> DataFrame:
     """Adds ``score``: how often the query's terms, each as often as it occurs there, occur in the sentence."""
-    rows = sents.join(query_profiles(queries), "cid")
-    return rows.withColumn("score", _matches(T.terms(F.col(text))).cast("double")).drop("q_tf", "q_norm", "query")
+    return _scored(sents, queries, text, _overlap)
 
 
 def tf_dot_relevance(sents: DataFrame, queries: DataFrame, key: list[str], text: str = "sent") -> DataFrame:
@@ -122,13 +148,26 @@ def row_l1(edges: DataFrame) -> DataFrame:
     return edges.withColumn("p", F.col("w") / F.sum("w").over(w))
 
 
+@lru_cache(maxsize=65_536)
+def _bag(text: str) -> tuple[Counter, float]:
+    """Counts of a text's tokens between spaces, and their length."""
+    counts = Counter(text.split(" ")) if text else Counter()
+    return counts, math.sqrt(sum(n * n for n in counts.values()))
+
+
+@F.pandas_udf(DoubleType())
+def _bag_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(a, b, strict=True):
+        (p, n), (q, m) = _bag((x or "").strip(" ")), _bag((y or "").strip(" "))
+        out.append(_dot(list(p.elements()), q) / (n * m) if n and m else 0.0)
+    return pd.Series(out, dtype="float64")
+
+
 def bow_cosine(a, b):
-    """Cosine of the token counts of two texts as an expression; 0 where either has no token."""
-    ta, tb = F.split(F.trim(a), " "), F.split(F.trim(b), " ")
-    na = F.sqrt(V.sum_of_squared_counts(ta).cast("double"))
-    nb = F.sqrt(V.sum_of_squared_counts(tb).cast("double"))
-    shared = F.aggregate(F.array_distinct(ta), F.lit(0).cast("long"), lambda s, t: s + F.size(F.filter(ta, lambda x: x == t)) * F.size(F.filter(tb, lambda x: x == t)))
-    return F.when((F.trim(a) == "") | (F.trim(b) == ""), 0.0).otherwise(shared / (na * nb))
+    """Cosine of the token counts of two texts; 0 where either has no token."""
+    ship()
+    return _bag_cosine(a, b)
 
 
 def pooled(pairs: DataFrame, by: list[str], how: str, score: str = "score") -> DataFrame:
