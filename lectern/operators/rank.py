@@ -23,26 +23,27 @@ def _key(score: str) -> Column:
     return F.round(F.col(score), PLACES)
 
 
-def ranked(rows: DataFrame, by: tuple[str, ...] = ("cid",), score: str = "score", ties: tuple[str, ...] = ("doc_id", "sent_idx"), above: float | None = None) -> DataFrame:
+def ranked(rows: DataFrame, by: tuple[str, ...] = ("cid",), score: str = "score", ties: tuple[str, ...] = ("doc_id", "sent_idx"), above: float | None = None, last_first: bool = False) -> DataFrame:
     """Adds rank (from 1, best first, ties in the order of ``ties``), cum (running sum of scores), total and best.
 
-    above: only scores over it count in the total.
+    above: only scores over it count in the total.  last_first: ties in descending order.
     """
     key = _key(score)
-    rows = rows.withColumn("_slice", F.floor(SLICES * key / (1 + F.abs(key)))).withColumn(
-        "_part", F.when(key == 0, F.floor(F.col(ties[0]) / DOCUMENTS)).otherwise(F.lit(0).cast("long"))
+    endless = F.abs(key) == float("inf")
+    rows = rows.withColumn("_slice", F.floor(SLICES * F.when(endless, F.signum(key)).otherwise(key / (1 + F.abs(key))))).withColumn(
+        "_part", F.when((key == 0) | endless, F.floor(F.col(ties[0]) / DOCUMENTS)).otherwise(F.lit(0).cast("long"))
     )
     cell = [*by, "_slice", "_part"]
     counted = F.col(score) if above is None else F.when(F.col(score) > above, F.col(score))
     every = Window.partitionBy(*by)
     sums = rows.groupBy(*cell).agg(F.count("*").alias("_n"), F.sum(score).alias("_s"), F.max(score).alias("_b"), F.sum(counted).alias("_c"))
-    w = Window.partitionBy(*by).orderBy(F.desc("_slice"), "_part")
+    w = Window.partitionBy(*by).orderBy(F.desc("_slice"), F.desc("_part") if last_first else F.asc("_part"))
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(
         *cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s0"),
         F.sum("_c").over(every).alias("total"), F.max("_b").over(every).alias("best"),
     )
-    inner = Window.partitionBy(*cell).orderBy(key.desc(), *ties)
+    inner = Window.partitionBy(*cell).orderBy(key.desc(), *[F.desc(t) if last_first else F.asc(t) for t in ties])
     out = rows.join(sums, cell)
     out = out.withColumn("rank", (F.row_number().over(inner) + F.col("_n0")).cast("int"))
     out = out.withColumn("cum", F.sum(score).over(inner.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_s0"))
@@ -57,8 +58,7 @@ def top_k(rows: DataFrame, k: int, by: tuple[str, ...] = ("cid",), score: str =
 
 def reverse_ranked(rows: DataFrame, by: tuple[str, ...] = ("cid",), score: str = "score", ties: tuple[str, ...] = ("doc_id", "sent_idx")) -> DataFrame:
     """Adds rank with ties in descending order: the reverse of an ascending sort."""
-    w = Window.partitionBy(*by).orderBy(_key(score).desc(), *[F.desc(t) for t in ties])
-    return rows.withColumn("rank", F.row_number().over(w))
+    return ranked(rows, by, score, ties, last_first=True).drop("cum", "total", "best")
 
 
 def deduplicate(rows: DataFrame, text: str = "sent", by: tuple[str, ...] = ("cid",), score: str = "score", ties: tuple[str, ...] = ("doc_id", "sent_idx")) -> DataFrame:

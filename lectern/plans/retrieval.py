@@ -58,7 +58,7 @@ def rank_sentences(spark, sf_dir):
 
 
 def reverse_argsort_rank(spark, sf_dir):
-    return _out(rank.reverse_ranked(scored(spark, sf_dir)), "rank")
+    return _out(rank.reverse_ranked(scores(spark, sf_dir)), "rank")
 
 
 def prune_tail(spark, sf_dir):

@@ -79,6 +79,14 @@ def test_ranks_over_many_slices(spark):
     assert (abs(out["cum"] - out["score"].cumsum()) < 1e-6).all()
 
 
+def test_reversed_ranks_over_many_slices(spark):
+    score = F.when(F.col("id") % 5 == 0, float("-inf")).when(F.col("id") % 2 == 0, 0.0).otherwise(F.col("id") % 300 / 300.0)
+    rows = spark.range(6000).select(F.lit("c").alias("cid"), F.col("id").alias("doc_id"), F.lit(0).alias("sent_idx"), score.alias("score"))
+    out = rank.reverse_ranked(rows).toPandas().sort_values("rank")
+    assert out["rank"].tolist() == list(range(1, 6001))
+    assert out["doc_id"].tolist() == out.sort_values(["score", "doc_id"], ascending=[False, False])["doc_id"].tolist()
+
+
 def test_deduplicate(spark):
     rows = table(spark, [1, 3, 3, 2], sents=["a", "a", "b", "b"])
     out = rank.deduplicate(rows)
