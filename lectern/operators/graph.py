@@ -184,7 +184,7 @@ def stationary(sents: DataFrame, vocabulary: DataFrame, damp: float = DAMP, step
                 out[n_terms:] += np.bincount(k, lone, n_clusters)
             yield out
 
-        return context.broadcast(pairs.mapPartitions(part).reduce(np.add))
+        return context.broadcast(pairs.mapPartitions(part).treeReduce(np.add))  # few sums at once in the driver
 
     def spread_mass(state, _):
         total, p = state
