@@ -30,7 +30,9 @@ def ranked(rows: DataFrame, by: tuple[str, ...] = ("cid",), score: str = "score"
     """
     key = _key(score)
     endless = F.abs(key) == float("inf")
-    rows = rows.withColumn("_slice", F.floor(SLICES * F.when(endless, F.signum(key)).otherwise(key / (1 + F.abs(key))))).withColumn(
+    # zero and the infinities have slices of their own: only rows that are all tied may be parted by document
+    finite = F.floor(SLICES * (key / (1 + F.abs(key)))) + (key > 0).cast("long")
+    rows = rows.withColumn("_slice", F.when(endless, (SLICES + 2) * F.signum(key).cast("long")).otherwise(finite)).withColumn(
         "_part", F.when((key == 0) | endless, F.floor(F.col(ties[0]) / DOCUMENTS)).otherwise(F.lit(0).cast("long"))
     )
     cell = [*by, "_slice", "_part"]

@@ -87,6 +87,15 @@ def test_reversed_ranks_over_many_slices(spark):
     assert out["doc_id"].tolist() == out.sort_values(["score", "doc_id"], ascending=[False, False])["doc_id"].tolist()
 
 
+def test_small_scores_rank_above_zeros_of_all_documents(spark):
+    small = F.when(F.col("id") == 5, 1e-4).when(F.col("id") == 1500, -1e-4).when(F.col("id") == 7, 1e300).when(F.col("id") == 2500, float("inf")).otherwise(0.0)
+    rows = spark.range(-1500, 3000).select(F.lit("c").alias("cid"), F.col("id").alias("doc_id"), F.lit(0).alias("sent_idx"), small.alias("score"))
+    for ranks, ascending in ((rank.reverse_ranked, False), (rank.ranked, True)):
+        out = ranks(rows).toPandas().sort_values("rank")
+        assert out["rank"].tolist() == list(range(1, 4501))
+        assert out["doc_id"].tolist() == out.sort_values(["score", "doc_id"], ascending=[False, ascending])["doc_id"].tolist()
+
+
 def test_deduplicate(spark):
     rows = table(spark, [1, 3, 3, 2], sents=["a", "a", "b", "b"])
     out = rank.deduplicate(rows)
