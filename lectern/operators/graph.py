@@ -222,6 +222,47 @@ def stationary(sents: DataFrame, vocabulary: DataFrame, damp: float = DAMP, step
     return spark.createDataFrame(blocks.zip(state).map(result), "block binary").mapInArrow(_unpacked, "cid string, doc_id long, sent_idx int, score double, n long")
 
 
+def walked_whole(sents: DataFrame, vocabulary: DataFrame, damp: float = DAMP, steps: int = STEPS) -> DataFrame:
+    """(cid, i, rank, score): ``stationary``, numbered in document order and ranked by multiples of an equal share, one task a cluster.
+
+    The same walk over the same terms, but all steps of a cluster run where its sentences are: no sum leaves the task.  For
+    clusters whose tokens fit in a worker, at 8 bytes each some four times over; ``stationary`` takes the others.
+    """
+
+    def walk(key: tuple, own: pa.Table, known: pa.Table) -> pa.Table:
+        own = own.sort_by([("doc_id", "ascending"), ("sent_idx", "ascending")]) if own.num_rows else own
+        n, h = own.num_rows, own.column("h").combine_chunks()
+        row, h = np.repeat(np.arange(n, dtype=np.int32), pc.list_value_length(h).to_numpy(zero_copy_only=False)), h.flatten().to_numpy()
+        first = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), (h[1:] != h[:-1]) | (row[1:] != row[:-1])]))  # a row's hashes are sorted
+        tf, row = np.diff(np.append(first, len(h))), row[first]
+        hashes, idf = known.column("h").to_numpy(), known.column("idf").to_numpy()
+        order = np.argsort(hashes)
+        hashes, idf = hashes[order], idf[order]
+        if (hashes[1:] == hashes[:-1]).any():
+            raise ValueError("two terms have one hash")
+        t = np.searchsorted(hashes, h[first]).astype(np.int32)
+        del h, first, own
+        w = tf * idf[t]
+        w /= np.sqrt(np.bincount(row, w * w, n))[row]
+        back = lambda sums: np.bincount(row, w * sums[t], n)
+        forth = lambda x: np.bincount(t, w * x[row], len(hashes))
+        total = back(forth(np.ones(n))) - (np.bincount(row, minlength=n) > 0)
+        alone = total <= NOTHING
+        p, total = np.full(n, 1 / max(n, 1)), np.where(alone, 1.0, total)
+        for _ in range(steps):
+            linked = np.where(alone, 0.0, p / total)
+            p = damp * (back(forth(linked)) - linked + p[alone].sum() / n) + (1 - damp) / n if n else p
+        rank = np.empty(n, np.int32)
+        rank[np.argsort(-np.round(p * n, 9), kind="stable")] = np.arange(1, n + 1)
+        return pa.table({"cid": pa.array([key[0].as_py()] * n, pa.string()), "i": pa.array(np.arange(n, dtype=np.int32)), "rank": pa.array(rank), "score": pa.array(p)})
+
+    ship(sents.sparkSession)
+    rows = sents.select("cid", "doc_id", "sent_idx", F.array_sort(F.transform("terms", lambda t: F.xxhash64("cid", t))).alias("h"))
+    known = vocabulary.select("cid", F.xxhash64("cid", "term").alias("h"), "idf")
+    both = _own(rows, "cid", "doc_id", "sent_idx", "h").groupBy("cid").cogroup(_own(known, "cid", "h", "idf").groupBy("cid"))
+    return both.applyInArrow(walk, "cid string, i int, rank int, score double")
+
+
 def diverse_order(score: np.ndarray, p: np.ndarray, omega: float) -> tuple[list[int], list[float]]:
     """Picks the best again and again; each pick lowers every other by omega * p[other, pick] * the pick's first score."""
     left, now = np.ones(len(score), bool), score.astype(float).copy()

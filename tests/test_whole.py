@@ -7,8 +7,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from lectern.operators import graph
-from lectern.plans import registry, retrieval
+from lectern.operators import corpus, graph
+from lectern.plans import registry, retrieval, similarity
 
 TERM = re.compile(r"\w{2,}")
 
@@ -65,6 +65,21 @@ def test_lexrank_ranks_all_sentences(spark, folder):
         assert [got[cid][i][1] for i in order] == list(range(1, n + 1))
 
 
+def test_lexrank_of_small_clusters_takes_no_job_a_step(spark, folder):
+    spark.sparkContext.setJobGroup("lexrank", "")
+    registry.QUERIES["lexrank_baseline"](spark, folder).collect()
+    spark.sparkContext.setJobGroup("other", "")
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("lexrank")) < graph.STEPS
+
+
+def test_lexrank_of_large_clusters_is_the_same(spark, folder):
+    docs = corpus.documents(spark, folder)
+    small, mixed, large = ({(r["cid"], r["i"]): (r["rank"], r["score"]) for r in similarity.lexrank(docs, those).collect()} for those in ([], ["src0"], ["src0", "src1", "src77"]))
+    assert small.keys() == mixed.keys() == large.keys() and len(small) > 150
+    for other in (mixed, large):
+        assert all(other[k][0] == r and other[k][1] == pytest.approx(x, abs=1e-12) for k, (r, x) in small.items())
+
+
 def test_document_frequencies_of_all_sentences(spark, folder):
     got = {(r["cid"], (r["i_doc"], r["i_sent"]), (r["j_doc"], r["j_sent"])): r["w"] for r in registry.QUERIES["doc_level_idf_edges"](spark, folder).collect()}
     want = {}
