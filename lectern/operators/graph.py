@@ -122,6 +122,7 @@ def stationary(sents: DataFrame, vocabulary: DataFrame, damp: float = DAMP, step
     sents: (cid, doc_id, sent_idx, terms); vocabulary: (cid, term, idf), with every term.  With W the matrix of TF-IDF
     weights, of length 1 a sentence, similarity is W W' less its diagonal of ones, so a step is two passes over the terms:
     mass goes from sentences to terms, the sums of all tasks meet in the driver (a number a term and cluster), and come back.
+    What a term of one sentence only would bring back is that sentence's own share, so such terms stay out of the sums.
     Sentences stay where they are, in blocks of term numbers and counts.  The steps run when this is called.
     """
     spark = sents.sparkSession
@@ -161,27 +162,40 @@ def stationary(sents: DataFrame, vocabulary: DataFrame, damp: float = DAMP, step
     found = blocks.flatMap(sizes).reduceByKey(int.__add__).collectAsMap()
     if not found:
         return spark.createDataFrame([], "cid string, doc_id long, sent_idx int, score double, n long")
+
+    def uses(those):
+        out = np.zeros(n_terms, np.int32)
+        for x in those:
+            np.add.at(out, pickle.loads(x)[5], 1)
+        yield out
+
+    shared = blocks.mapPartitions(uses).treeReduce(np.add) > 1
+    n_shared = int(shared.sum())
+    number = context.broadcast(np.where(shared, np.cumsum(shared, dtype=np.int32) - 1, -1).astype(np.int32))
     place = {c: k for k, c in enumerate(sorted(found))}
     n_of, n_clusters = np.array([found[c] for c in place], float), len(place)
 
     def opened(x: bytes):
-        """(cluster of each row, row and term of each weight, weight)"""
+        """(cluster of each row, row and term of each weight of a shared term, weight, what a row's similarities sum to less than these: 1 less its other weights' squares)"""
         cids, code, _, _, each, t, tf = pickle.loads(x)
         row = np.repeat(np.arange(len(code)), each)
         raw = tf * words.value[1][t]
         norm = np.sqrt(np.bincount(row, raw * raw, len(code)))
-        return np.array([place[c] for c in cids])[code], row, t, raw / norm[row]
+        w, t = raw / norm[row], number.value[t]
+        own = t < 0
+        rest = (norm > 0) - np.bincount(row[own], w[own] ** 2, len(code))
+        return np.array([place[c] for c in cids])[code], row[~own], t[~own], w[~own], rest
 
     def summed(pairs, mass):
         """The terms' sums over all rows, then the clusters' sums of what lies on rows without edges."""
 
         def part(those):
-            out = np.zeros(n_terms + n_clusters)
+            out = np.zeros(n_shared + n_clusters)
             for x, state in those:
-                k, row, t, w = opened(x)
+                k, row, t, w, _ = opened(x)
                 linked, lone = mass(state, len(k))
                 np.add.at(out, t, w * linked[row])
-                out[n_terms:] += np.bincount(k, lone, n_clusters)
+                out[n_shared:] += np.bincount(k, lone, n_clusters)
             yield out
 
         return context.broadcast(pairs.mapPartitions(part).treeReduce(np.add))  # few sums at once in the driver
@@ -192,15 +206,15 @@ def stationary(sents: DataFrame, vocabulary: DataFrame, damp: float = DAMP, step
         return np.where(alone, 0.0, p / np.where(alone, 1.0, total)), np.where(alone, p, 0.0)
 
     def begin(x: bytes, sums):
-        k, row, t, w = opened(x)
-        return np.bincount(row, w * sums.value[t], len(k)) - (np.bincount(row, minlength=len(k)) > 0), 1 / n_of[k]
+        k, row, t, w, rest = opened(x)
+        return np.bincount(row, w * sums.value[t], len(k)) - rest, 1 / n_of[k]
 
     def move(pair, sums):
         x, state = pair
-        k, row, t, w = opened(x)
+        k, row, t, w, rest = opened(x)
         linked, _ = spread_mass(state, None)
-        flow = np.bincount(row, w * sums.value[t], len(k)) - linked
-        return state[0], damp * (flow + sums.value[n_terms:][k] / n_of[k]) + (1 - damp) / n_of[k]
+        flow = np.bincount(row, w * sums.value[t], len(k)) - rest * linked
+        return state[0], damp * (flow + sums.value[n_shared:][k] / n_of[k]) + (1 - damp) / n_of[k]
 
     first = summed(blocks.map(lambda x: (x, None)), lambda _, n: (np.ones(n), np.zeros(n)))
     state = blocks.map(lambda x: begin(x, first))._reserialize(single).persist(StorageLevel.MEMORY_AND_DISK)
