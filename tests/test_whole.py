@@ -6,8 +6,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lectern.operators import corpus, graph
+from lectern.functions import text as T
+from lectern.operators import corpus, graph, links
 from lectern.plans import registry, retrieval, similarity
 
 TERM = re.compile(r"\w{2,}")
@@ -81,7 +83,7 @@ def test_lexrank_of_large_clusters_is_the_same(spark, folder):
 
 
 def test_document_frequencies_of_all_sentences(spark, folder):
-    got = {(r["cid"], (r["i_doc"], r["i_sent"]), (r["j_doc"], r["j_sent"])): r["w"] for r in registry.QUERIES["doc_level_idf_edges"](spark, folder).collect()}
+    got = {(r["cid"], (r["i_doc"], r["i_sent"]), (r["j_doc"], r["j_sent"])): r["w"] for r in similarity.doc_level_pairs(spark, folder).collect()}
     want = {}
     for cid, rows in clusters(spark, folder).items():
         m = by_documents(rows)
@@ -90,6 +92,40 @@ def test_document_frequencies_of_all_sentences(spark, folder):
     assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
 
 
+def test_links_of_all_sentences(spark, folder):
+    got = {(r["cid"], (r["doc_id"], r["sent_idx"])): r for r in registry.QUERIES["doc_level_idf_edges"](spark, folder).collect()}
+    want = clusters(spark, folder)
+    assert len(got) == sum(map(len, want.values()))  # a row a sentence, with or without links
+    for cid, rows in want.items():
+        m = by_documents(rows)
+        for i, (key, bag) in enumerate(rows):
+            r = got[cid, key]
+            assert r["n_links"] == np.count_nonzero(m[i]) and r["w"] == pytest.approx(m[i].sum(), abs=2e-6)
+            assert (r["c_doc"], r["c_sent"]) == next(k for k, other in rows if other == bag)
+    assert min(r["n_links"] for r in got.values()) == 0
+
+
+def test_links_of_odd_documents(spark):
+    docs = [(1, "Aa bb. Bb cc! ?", "a"), (None, "cc cc dd", "a"), (2, None, "a"), (3, "aa bb", "a"), (4, "aa bb", None), (5, "zz zz. ! a", "b"), (6, "", "c")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, cid string").select("cid", "doc_id", "text")
+    of = lambda d: [tuple(r)[:6] for r in links.linked(d, F.transform(corpus.sentence_texts(F.col("text")), T.terms)).collect()]
+    a, b = [("a", 1, 0, 1, 0, 2), ("a", 1, 1, 1, 1, 3), ("a", 1, 2, 1, 2, 0), ("a", None, 0, None, 0, 1), ("a", 3, 0, 1, 0, 2)], [("b", 5, 0, 5, 0, 0), ("b", 5, 1, 5, 1, 0), ("b", 5, 2, 5, 1, 0)]
+    assert sorted(of(docs), key=str) == sorted(a + b, key=str) and of(docs.limit(0)) == []
+
+
+def test_reach_against_plain_loops(monkeypatch):
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        monkeypatch.setattr(links, "RARE", int(rng.choice([2, 5, 1000])))
+        monkeypatch.setattr(links, "DENSE", int(rng.choice([0, 2, 1024])))
+        monkeypatch.setattr(links, "AT_ONCE", int(rng.choice([1, 10, 2000])))
+        sets = lambda n: [sorted({int(40 * x**3) for x in rng.random(rng.integers(0, 9))}) for _ in range(n)]
+        a, b = sets(int(rng.integers(1, 70))), sets(int(rng.integers(1, 70)))
+        weight = rng.integers(1, rng.choice([2, 9, 100_000]), len(b))
+        flat = lambda those: (np.cumsum([0] + [len(x) for x in those]), np.array([c for x in those for c in x], np.int32))
+        assert links.reach(*flat(a), *flat(b), weight).tolist() == [sum(int(w) for y, w in zip(b, weight, strict=True) if {*x} & {*y}) for x in a]
+
+
 def test_graph_nodes_reach_the_bound(spark, folder):
     best = sum("asked" in r["sent"] or {"w1", "w2"} & set(TERM.findall(r["sent"])) != set() for r in retrieval.english_sentences(spark, folder).where("cid = 'src0'").collect())
     rows = registry.QUERIES["graph_nodes"](spark, folder).where("cid = 'src0'").collect()
