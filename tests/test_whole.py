@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,17 @@ def test_links_of_odd_documents(spark):
     assert sorted(of(docs), key=str) == sorted(a + b, key=str) and of(docs.limit(0)) == []
 
 
+def test_chunks_cut_and_join():
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.list_(pa.int64())))], names=["s"]) for x in ([[[1]] * 3, None, [[2]] * 9, [[3], []]], [[[4]]] * 5, [[]])]
+    for most in (1, 3, 4, 100):
+        got = [t["s"].to_pylist() for t in links._chunks(iter(batches), most)]
+        assert sum(got, []) == sum((b.column("s").to_pylist() for b in batches), [])
+        opened = [links._opened(t.append_column("cid", pa.array(["a"] * len(t)))) for t in links._chunks(iter(batches), most)]
+        assert [h for o in opened for h in o[5]] == [1, 1, 1, *[2] * 9, 3, *[4] * 5]
+        assert all(len(x) == 1 or sum(len(d or []) for d in x) <= most for x in got)
+    assert len(got) == 1
+
+
 def test_reach_against_plain_loops(monkeypatch):
     rng = np.random.default_rng(1)
     for _ in range(40):
